@@ -284,3 +284,21 @@ class CountSketch:
 
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies, as a table for str.translate: printable bytes
+    stand for themselves, the others for the letters from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+class Pieces:
+    """Ids of one pre-token by a byte-level model, without the library's cost of a whole encoding."""
+
+    def __init__(self, tok):
+        self.model, self.table = tok.model, byte_letters()
+
+    def __call__(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table))]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE, Scratch, chunked, table
+from .common import CACHE, Pieces, Scratch, chunked, table
 
 #: Lengths above FINE are capacity // k only; up to FINE every length is a class of its own.
 FINE = 64
@@ -60,16 +60,16 @@ class WordIds:
         self.odd = re.compile("[^\x00-\x1b\x20-ɏ]").search
         self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.find_ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.A).findall
-        encode, cache = self.tok.encode, {}
+        encode = Pieces(self.tok)
 
         class Ids(dict):
             def __missing__(self, w: str) -> bytes:
                 if len(self) >= CACHE:
                     self.clear()
-                self[w] = ids = np.array(encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+                self[w] = ids = np.array(encode(w), "<u4").tobytes()
                 return ids
 
-        self.ids = Ids(cache)
+        self.ids = Ids()
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
