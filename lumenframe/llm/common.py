@@ -301,4 +301,6 @@ class Pieces:
         self.model, self.table = tok.model, byte_letters()
 
     def __call__(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table))]
+        if not word.isascii() or not word.isprintable() or " " in word:
+            word = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
+        return [t.id for t in self.model.tokenize(word)]

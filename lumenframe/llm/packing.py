@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -45,7 +46,7 @@ def cutter(capacity: int):
 
 
 class WordIds:
-    """Token ids of whole texts by the words the vocabulary splits them into; each word is encoded once, then kept.
+    """Token ids of whole texts by the parts between white space, which no pre-token spans; each is encoded once, then kept.
 
     Texts with characters outside \\x00-\\x1b and \\x20-\\u024f, or with special strings, go to the library whole, as its
     Unicode tables and rules hold for those.
@@ -57,16 +58,15 @@ class WordIds:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.odd = re.compile("[^\x00-\x1b\x20-ɏ]").search
-        self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.find_ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.A).findall
+        self.odd = re.compile("[^\x00-\x1b\x20-\u024f]").search
+        find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         encode = Pieces(self.tok)
 
         class Ids(dict):
-            def __missing__(self, w: str) -> bytes:
+            def __missing__(self, part: str) -> bytes:
                 if len(self) >= CACHE:
                     self.clear()
-                self[w] = ids = np.array(encode(w), "<u4").tobytes()
+                self[part] = ids = array("I", [i for w in find(part) for i in encode(w)]).tobytes()
                 return ids
 
         self.ids = Ids()
@@ -75,8 +75,7 @@ class WordIds:
         """Little-endian unsigned 32-bit ids."""
         if self.odd(text) or any(s in text for s in self.special):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        t = text.lower()
-        return b"".join(map(self.ids.__getitem__, self.find_ascii(t) if t.isascii() else self.find(t)))
+        return b"".join(map(self.ids.__getitem__, text.lower().split()))
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096) -> DataFrame:

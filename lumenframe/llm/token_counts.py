@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunked, table
+from .common import Pieces, Scratch, chunked, table
 
 #: Most frequent pre-tokens whose counts every worker holds (none longer than HEAD_CHARS); the others are joined.
 HEAD, HEAD_CHARS = 1 << 17, 48
 #: Distinct pre-tokens a worker counts before it passes them on.
-HELD = 200_000
+HELD = 100_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -23,24 +24,25 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def splitter(path: str):
-    """(text -> (number of special tokens, pre-tokens), tokenizer) of a byte-level vocabulary, as the library splits.
+    """text -> (number of special tokens, pre-tokens) of a byte-level vocabulary, as the library splits.
 
     Texts of characters up to U+024F are split by the published pattern; others by the library's own pre-tokenizer, as
     Unicode tables differ by release.
     """
     import public_tokenizers
     import regex
-    from tokenizers import Tokenizer
+    from tokenizers import pre_tokenizers
 
-    tok = Tokenizer.from_file(path)
-    special = [t.content for t in tok.get_added_tokens_decoder().values()]
+    with open(path, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
     cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
     find = regex.compile(public_tokenizers.PATTERN).findall
-    odd = regex.compile("[^\x00-\x1b\x20-ɏ]").search
+    odd = regex.compile("[^\x00-\x1b\x20-\u024f]").search
+    library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
 
     def pieces(text: str) -> list[str]:
         if odd(text):
-            return [text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)]
+            return [text[a:b] for _, (a, b) in library(text)]
         return find(text)
 
     def split(text: str) -> tuple[int, list[str]]:
@@ -49,14 +51,14 @@ def splitter(path: str):
         parts = cut.split(text)
         return len(parts) - 1, [p for x in parts if x for p in pieces(x)]
 
-    return split, tok
+    return split
 
 
 def vocabulary(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
     """piece_counts(pretoken, freq, n): every distinct pre-token of docs.text, its corpus frequency and its pieces."""
 
     def count(batches):
-        split, _ = splitter(path)
+        split = splitter(path)
 
         def rows(c):
             return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["pretoken", "freq"])
@@ -73,9 +75,11 @@ def vocabulary(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
             yield rows(held)
 
     def encode(batches):
-        _, tok = splitter(path)
+        from tokenizers import Tokenizer
+
+        pieces = Pieces(Tokenizer.from_file(path))
         for b in batches:
-            n = [len(e) for e in tok.encode_batch_fast(b.column(0).to_pylist(), add_special_tokens=False)]
+            n = [len(pieces(w)) for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["pretoken", "freq", "n"])
 
     freq = docs.select("text").mapInArrow(count, "pretoken string, freq long").groupBy("pretoken").agg(F.sum("freq").alias("freq"))
@@ -101,7 +105,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, he
     def per_document(batches):
         from pyspark import TaskContext
 
-        split, _ = splitter(path)
+        split = splitter(path)
         get, seq = known.value.get, TaskContext.get().partitionId() << 33
         kinds = [("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_known", pa.int64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))]
         for c in chunked(batches):
