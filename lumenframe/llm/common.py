@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +107,7 @@ def word_hashes(words: list[list[bytes]], cache: WordHash) -> tuple[np.ndarray,
     at = np.zeros(len(words) + 1, np.int64)
     np.cumsum([len(w) for w in words], out=at[1:])
     get = cache.__getitem__
-    return np.fromiter((h for w in words for h in map(get, w)), np.uint64, int(at[-1])), at
+    return np.fromiter(map(get, chain.from_iterable(words)), np.uint64, int(at[-1])), at
 
 
 def _odd(seed: int, n: int) -> list[int]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -41,53 +41,60 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return ids.unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def linked(postings: DataFrame, check: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int = 2, enough=None) -> DataFrame | None:
+def linked(postings: DataFrame, check: Callable[[DataFrame], DataFrame], scratch: Scratch, fits: Callable[[Column, Column], Column], enough: Callable[[Column, Column], Column] | None = None, rounds: int = 4) -> DataFrame | None:
     """(id, component) of ids that are linked with others; None if no key is shared.
 
-    postings(key, id): two ids may be linked only if they share keys. check(pairs(a, b)) returns the linked ones of the
-    given pairs. enough(pairs(a, b, n)): optional filter by the number of shared keys, for the last step.
+    postings(key, id, v, central): two ids may be linked only if they share keys and fits(v, v) holds of their values.
+    check(pairs(a, b)) returns the linked ones of the given pairs. enough(v, v): optional least number of shared keys,
+    for the last step.
 
-    First some rounds in which each key has one member, drawn by a hash, checked against its members of other
-    components: a large group of like items falls together without pairs within it. Then every remaining pair that
-    shares a key across two components is checked. A pair within a component needs no check, so no link between
-    components is lost. Pairs are never formed within a component.
+    First some rounds in which each key has one member, the most central or one drawn by a hash, checked against its
+    members of other components: a large group of like items falls together without pairs within it. Then every
+    remaining pair that shares a key across two components is checked. A pair within a component needs no check, so no
+    link between components is lost. Pairs are never formed within a component.
     """
     shared = postings.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     p = scratch.save(postings.join(shared, "key"), "postings")
     if p.isEmpty():
         return None
-    comp, links = None, None
-    tried = None
+    comp, links, tried = None, None, None
 
     def current():
         if comp is None:
             return p.withColumn("comp", F.col("id"))
-        return p.join(comp.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        now = p.join(comp.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        split = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        return now.join(split, "key")
 
     def learn(pairs):
         nonlocal comp, links
         found = scratch.save(check(pairs), "links")
         links = found if links is None else links.unionByName(found)
-        comp = scratch.save(components(links, scratch), "components")
+        comp = components(links, scratch)
 
+    now = scratch.save(current(), "members")
     for r in range(rounds):
-        now = scratch.save(current(), "members")
-        hub = now.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("hub"), F.col("comp").alias("hub_comp")), F.xxhash64("id", F.lit(r))).alias("h")).select("key", "h.*")
-        pairs = now.join(hub, "key").where("comp <> hub_comp").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        pairs = scratch.save(pairs, "tried")
-        if pairs.isEmpty():  # no key is shared across components any more
+        order = F.struct((-F.col("central")).alias("c"), F.xxhash64("id", F.lit(r)).alias("x")) if r == 0 else F.xxhash64("id", F.lit(r))
+        hub = now.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("hub"), F.col("v").alias("hub_v"), F.col("comp").alias("hub_comp")), order).alias("h")).select("key", "h.*")
+        pairs = now.join(hub, "key").where("comp <> hub_comp").where(fits(F.col("v"), F.col("hub_v")))
+        pairs = scratch.save(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "tried")
+        if not pairs.isEmpty():
+            learn(pairs)
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            scratch.drop(now)
+            now = scratch.save(current(), "members")
+        if now.isEmpty():  # no key is shared across components any more
             return comp
-        learn(pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-    now = scratch.save(current(), "members")
     sides = now.select("key", "comp").distinct()
     across = sides.alias("x").join(sides.alias("y"), F.expr("x.key = y.key AND x.comp < y.comp")).select("x.key", F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
-    of = lambda i, c: now.select("key", F.col("comp").alias(c), F.col("id").alias(i))
-    pairs = across.join(of("i", "ca"), ["key", "ca"]).join(of("j", "cb"), ["key", "cb"])
-    pairs = pairs.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    if enough is not None:
-        pairs = enough(pairs)
-    pairs = scratch.save(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti") if tried is not None else pairs.select("a", "b"), "across")
+    of = lambda i, c, v: now.select("key", F.col("comp").alias(c), F.col("id").alias(i), F.col("v").alias(v))
+    second = now.select(F.col("key").alias("k2"), F.col("comp").alias("c2"), F.col("id").alias("j"), F.col("v").alias("vb"))
+    first = across.join(of("i", "ca", "va"), ["key", "ca"])
+    pairs = first.join(second, (first["key"] == second["k2"]) & (first["cb"] == second["c2"]) & fits(first["va"], second["vb"]))
+    need = enough(F.col("va"), F.col("vb")) if enough is not None else F.lit(1)
+    pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), need.alias("need"))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
+    pairs = scratch.save(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "across")
     if not pairs.isEmpty():
         learn(pairs)
     return comp

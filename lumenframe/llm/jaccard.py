@@ -84,8 +84,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     def index(batches):
         cache = WordHash()
-        names = ["doc_id", "n_shingles", "sig", "l", "tokens", "hashes"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        names = ["doc_id", "n_shingles", "sig", "l", "share", "tokens", "hashes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for c in chunked(batches):
             out: list[list] = [[] for _ in names]
             sets = shingle_sets(c["text"], k, cache)
@@ -97,7 +97,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                 n = len(s)
                 f = freq[at : at + n]
                 at += n
-                sig, best, tokens, hashes = None, None, None, None
+                sig, best, share, tokens, hashes = None, None, None, None, None
                 if n:
                     sig = xxhash.xxh3_64_intdigest(s.tobytes())
                     sig -= (sig >> 63) << 64
@@ -106,29 +106,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                     taken = by[:length]
                     taken = taken[f[taken] > 1]
                     if len(taken) >= best:
-                        tokens, hashes = signed(s[taken]), signed(s)
-                for o, v in zip(out, (i, n, sig, best, tokens, hashes), strict=True):
+                        tokens, hashes, share = signed(s[taken]), signed(s), float((f > 1).mean())
+                for o, v in zip(out, (i, n, sig, best, share, tokens, hashes), strict=True):
                     o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names)
 
-    sets = scratch.save(docs.mapInArrow(index, "doc_id long, n_shingles long, sig long, l int, tokens array<long>, hashes array<long>"), "sets")
-    distinct = scratch.save(sets.where(F.col("tokens").isNotNull()).dropDuplicates(["sig"]).select("sig", "n_shingles", "l", "tokens", "hashes"), "distinct")
-    postings = distinct.select(F.explode("tokens").alias("key"), F.col("sig").alias("id"))
-    sizes = distinct.select("sig", "n_shingles", "l")
+    sets = scratch.save(docs.mapInArrow(index, "doc_id long, n_shingles long, sig long, l int, share float, tokens array<long>, hashes array<long>"), "sets")
+    distinct = scratch.save(sets.where(F.col("tokens").isNotNull()).dropDuplicates(["sig"]).select("sig", "n_shingles", "l", "share", "tokens", "hashes"), "distinct")
+    value = F.struct(F.col("n_shingles").alias("n"), "l")
+    postings = distinct.select(F.explode("tokens").alias("key"), F.col("sig").alias("id"), value.alias("v"), F.col("share").alias("central"))
 
-    def sized(pairs, *names):
-        for s in "ab":
-            pairs = pairs.join(sizes.select(F.col("sig").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("l").alias(f"l{s}")), s)
-        return pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", *names)
+    def fits(x, y):
+        return 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
 
     def check(pairs):
-        pairs = sized(pairs)
         for s in "ab":
             pairs = pairs.join(distinct.select(F.col("sig").alias(s), F.col("hashes").alias(f"h{s}")), s)
         both = F.size(F.array_intersect("ha", "hb"))
         return pairs.where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
-    comp = linked(postings, check, scratch, enough=lambda pairs: sized(pairs, "n", "la", "lb").where("n >= least(la, lb)"))
+    comp = linked(postings, check, scratch, fits, enough=lambda x, y: F.least(x["l"], y["l"]))
     if comp is None:
         rows = sets.withColumn("root", F.col("sig"))
     else:
