@@ -7,10 +7,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import RepeatSketch, Scratch, WordHash, chunked, signed, table, text_bytes, windows, word_hashes
+from .common import RepeatSketch, Scratch, WordHash, chunked, mix, signed, small, table, text_bytes, windows, word_hashes
+
+#: Rows of repeated whole texts (two numbers each) that are broadcast; with more, they are joined by shuffling.
+COPIES = 1_000_000
 
 
 def _windows(texts: list, k: int, cache: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,37 +34,54 @@ def cut_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
     windows are those of the input. Words are runs of anything but [\\x20\\x09-\\x0D]; kept ones are joined by one space.
     Null texts and texts of fewer than k words have no windows. Rows with a null doc_id come before and after nothing:
     they neither lose words nor make others lose any. Rows that repeat a doc_id don't affect each other. No rows give
-    no rows. Windows are grouped by 128 bits of two independent hashes.
+    no rows. Windows are grouped by 96 bits of two independent hashes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring-dedup")
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    keyed = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("row"))  # row tells apart rows of one doc_id
+    some = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    copies = some.groupBy("row").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("row", "source")
+    copies = small(scratch.save(copies, "copies"), COPIES)
+    copied = F.coalesce(F.col("doc_id") > F.col("source"), F.lit(False))
+    keyed = keyed.join(copies, "row", "left").withColumn("copied", copied).drop("source")
+    # a later copy of a whole text loses all its windows, and its windows start in the first copy too
+    firsts = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~F.col("copied")).select("doc_id", F.col("row").cast("bigint").alias("row"), "text")
     sketch = RepeatSketch.sized(text_bytes(docs) / 5)
 
     def count(batches):
         cache = WordHash()
         yield from sketch.partial(_windows(c["text"], k, cache)[0] for c in chunked(batches))
 
-    counted = scratch.save(docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(count, RepeatSketch.schema), "sketches")
+    counted = scratch.save(firsts.select("text").mapInArrow(count, RepeatSketch.schema), "sketches")
     bits = spark.sparkContext.broadcast(sketch.merged(counted))
     scratch.drop(counted)
 
     def suspects(batches):
         cache = WordHash()
-        names = ["doc_id", "row", "at", "h", "g"]
+        names = ["h", "g", "doc_id", "row", "at", "sure"]
         for c in chunked(batches):
             h, g, n = _windows(c["text"], k, cache)
             hit = np.flatnonzero(sketch.repeated(h, bits.value))
+            if not len(hit):
+                continue
             ends = np.cumsum(n)
             doc = np.searchsorted(ends, hit, "right")
-            arrays = [pa.array(np.array(c["doc_id"], np.int64)[doc]), pa.array(np.array(c["row"], np.int64)[doc]), pa.array((hit - (ends - n)[doc]).astype(np.int32)), pa.array(signed(h[hit])), pa.array(signed(g[hit]))]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    keyed = docs.withColumn("row", F.xxhash64("text"))  # tells apart rows that share a doc_id
-    found = keyed.where(F.col("doc_id").isNotNull()).mapInArrow(suspects, "doc_id long, row long, at int, h long, g long")
-    found = scratch.save(found, "suspects")
-    first = found.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "g", "first")
-    again = found.join(first, ["h", "g"]).where("doc_id > first")
+            ids, at = np.array(c["doc_id"], np.int64)[doc], hit - (ends - n)[doc]
+            h, g = h[hit], (g[hit] >> np.uint64(32)).astype(np.uint32)
+            # of the rows at hand, those with a smaller doc_id at hand are sure; they go on under a key of their own
+            order = np.lexsort((ids, g, h))
+            new = np.r_[True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]
+            first = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            sure = np.zeros(len(hit), bool)
+            sure[order] = ids[order] > first
+            key = np.where(sure, mix(h + mix(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64))), h)
+            rows = [signed(key), g.view(np.int32), ids, np.array(c["row"], np.int64)[doc], at.astype(np.int32), sure]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names)
+
+    found = firsts.mapInArrow(suspects, "h long, g int, doc_id long, row long, at int, sure boolean")
+    # after the step above a window has few rows, however many documents share it
+    group = Window.partitionBy("h", "g")
+    again = found.withColumn("first", F.min("doc_id").over(group)).where("sure or doc_id > first")
     runs = again.groupBy("doc_id", "row").agg(F.collect_set("at").alias("starts"))  # no more than a document has words
 
     def cut(batches):
@@ -69,10 +89,12 @@ def cut_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
         for c in chunked(batches):
             out: list[list] = [[] for _ in names]
-            for i, t, starts in zip(c["doc_id"], c["text"], c["starts"], strict=True):
+            for i, t, starts, copied in zip(c["doc_id"], c["text"], c["starts"], c["copied"], strict=True):
                 words = (t or "").encode("utf-8", "surrogatepass").split()
                 kept = words
-                if starts:
+                if copied and len(words) >= k:
+                    kept = []
+                elif starts:
                     edge = np.zeros(len(words) + 1, np.int32)
                     at = np.array(starts)
                     np.add.at(edge, at, 1)
@@ -82,7 +104,7 @@ def cut_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
                     o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, x) for o, x in zip(out, kinds, strict=True)], names)
 
-    return keyed.join(runs, ["doc_id", "row"], "left").select("doc_id", "text", "starts").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    return keyed.join(runs, ["doc_id", "row"], "left").select("doc_id", "text", "starts", "copied").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
