@@ -64,7 +64,7 @@ class WordIds:
 
         class Ids(dict):
             def __missing__(self, part: str) -> bytes:
-                if len(self) >= CACHE:
+                if len(self) >= 2 * CACHE:
                     self.clear()
                 self[part] = ids = array("I", [i for w in find(part) for i in encode(w)]).tobytes()
                 return ids
@@ -78,6 +78,12 @@ class WordIds:
         return b"".join(map(self.ids.__getitem__, text.lower().split()))
 
 
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One per worker process, whatever tasks it runs."""
+    return WordIds(path)
+
+
 def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece of docs(doc_id, text).
 
@@ -94,7 +100,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096) -> D
     def cut(batches):
         from pyspark import TaskContext
 
-        ids_of, pieces = WordIds(path), cutter(capacity)
+        ids_of, pieces = word_ids(path), cutter(capacity)
         end, task = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         ranks: dict[int, int] = {}
         kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("task", pa.int32()), ("rank", pa.int64())]
