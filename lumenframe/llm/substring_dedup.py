@@ -45,7 +45,7 @@ def cut_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
     copied = F.coalesce(F.col("doc_id") > F.col("source"), F.lit(False))
     keyed = keyed.join(copies, "row", "left").withColumn("copied", copied).drop("source")
     # a later copy of a whole text loses all its windows, and its windows start in the first copy too
-    firsts = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~F.col("copied")).select("doc_id", F.col("row").cast("bigint").alias("row"), "text")
+    firsts = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~F.col("copied")).select("doc_id", F.hash("text").alias("row"), "text")
     sketch = RepeatSketch.sized(text_bytes(docs) / 5)
 
     def count(batches):
@@ -58,7 +58,7 @@ def cut_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
 
     def suspects(batches):
         cache = WordHash()
-        names = ["h", "g", "doc_id", "row", "at", "sure"]
+        names = ["h", "g", "doc_id", "row", "at"]
         for c in chunked(batches):
             h, g, n = _windows(c["text"], k, cache)
             hit = np.flatnonzero(sketch.repeated(h, bits.value))
@@ -68,21 +68,21 @@ def cut_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
             doc = np.searchsorted(ends, hit, "right")
             ids, at = np.array(c["doc_id"], np.int64)[doc], hit - (ends - n)[doc]
             h, g = h[hit], (g[hit] >> np.uint64(32)).astype(np.uint32)
-            # of the rows at hand, those with a smaller doc_id at hand are sure; they go on under a key of their own
+            # of the rows at hand, those with a smaller doc_id at hand are sure; they go on under a key of their own, at < 0
             order = np.lexsort((ids, g, h))
             new = np.r_[True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]
             first = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             sure = np.zeros(len(hit), bool)
             sure[order] = ids[order] > first
             key = np.where(sure, mix(h + mix(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64))), h)
-            rows = [signed(key), g.view(np.int32), ids, np.array(c["row"], np.int64)[doc], at.astype(np.int32), sure]
+            rows = [signed(key), g.view(np.int32), ids, np.array(c["row"], np.int32)[doc], np.where(sure, -1 - at, at).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names)
 
-    found = firsts.mapInArrow(suspects, "h long, g int, doc_id long, row long, at int, sure boolean")
+    found = firsts.mapInArrow(suspects, "h long, g int, doc_id long, row int, at int")
     # after the step above a window has few rows, however many documents share it
     group = Window.partitionBy("h", "g")
-    again = found.withColumn("first", F.min("doc_id").over(group)).where("sure or doc_id > first")
-    runs = again.groupBy("doc_id", "row").agg(F.collect_set("at").alias("starts"))  # no more than a document has words
+    again = found.withColumn("first", F.min("doc_id").over(group)).where("at < 0 or doc_id > first")
+    runs = again.groupBy("doc_id", "row").agg(F.collect_set(F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at"))).alias("starts"))  # no more than a document has words
 
     def cut(batches):
         names = ["doc_id", "n_words", "n_removed", "kept_text"]
@@ -104,7 +104,7 @@ def cut_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
                     o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, x) for o, x in zip(out, kinds, strict=True)], names)
 
-    return keyed.join(runs, ["doc_id", "row"], "left").select("doc_id", "text", "starts", "copied").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    return keyed.withColumn("row", F.hash("text")).join(runs, ["doc_id", "row"], "left").select("doc_id", "text", "starts", "copied").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
