@@ -12,15 +12,32 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, ascii_lower, small, table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words: ASCII but digits and letters.
+BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: How many of a phrase's rarest terms have their lists intersected before words are compared.
 RAREST = 2
 #: Rows of test-side tables that are broadcast, and of keys of documents with candidates; beyond it joins shuffle.
 BROADCAST_ROWS, BROADCAST_KEYS = 100_000, 1_000_000
 
 
-def words_of(text: Column, pattern: str = WORD) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
+def lower_word(w: Column) -> Column:
+    """A-Z lower-cased; the general translation is only needed for words with other letters than ASCII."""
+    return F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(ascii_lower(w))
+
+
+def split_words(text: Column) -> Column:
+    """The words as they stand, with an empty one at either end if the text begins or ends with a separator."""
+    return F.split(F.coalesce(text, F.lit("")), BREAK)
+
+
+def count_words(split: Column) -> Column:
+    n = F.size(split)
+    ends = F.when(split[0] == "", 1).otherwise(0) + F.when((n > 1) & (F.element_at(split, -1) == ""), 1).otherwise(0)
+    return (n - ends).cast("bigint")
+
+
+def words_of(text: Column) -> Column:
+    return F.transform(F.filter(split_words(text), lambda w: w != ""), lower_word)
 
 
 def phrases(bench: DataFrame, size: int) -> DataFrame:
@@ -41,7 +58,7 @@ def occurrences(docs: DataFrame, found_phrases: DataFrame, scratch: Scratch, slo
     """
     terms = found_phrases.select("phrase", F.posexplode("words").alias("off", "term"), F.size("words").alias("size"))
     vocab = small(terms.select("term").distinct(), BROADCAST_ROWS)
-    stream = docs.select(F.explode("words").alias("term"))
+    stream = docs.select(F.explode("words").alias("raw")).select(lower_word(F.col("raw")).alias("term"))
     df = scratch.save(stream.join(vocab, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     # a phrase with a term that no document has can't occur
     known = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
@@ -49,7 +66,7 @@ def occurrences(docs: DataFrame, found_phrases: DataFrame, scratch: Scratch, slo
     ranked = known.withColumn("r", F.row_number().over(rank)).withColumn("least", F.min("df").over(Window.partitionBy("phrase")))
     starts = scratch.save(ranked.where(F.col("r") <= RAREST).where(F.col("least") > 0).select("phrase", "term", "off", "r", "size"), "starts")
     wanted = small(starts.select("term").distinct(), BROADCAST_ROWS)
-    postings = docs.select("doc", F.posexplode("words").alias("pos", "term")).join(wanted, "term")
+    postings = docs.select("doc", F.posexplode("words").alias("pos", "raw")).select("doc", "pos", lower_word(F.col("raw")).alias("term")).join(wanted, "term")
     postings = scratch.save(postings.select("term", "doc", "pos"), "postings")
     # offset-adjusted lists: where a phrase would start by each of its rarest terms
     lists = postings.join(small(starts, BROADCAST_ROWS), "term")
@@ -62,7 +79,7 @@ def occurrences(docs: DataFrame, found_phrases: DataFrame, scratch: Scratch, slo
     per_doc = scratch.save(hits.groupBy("doc", "phrase").agg(F.collect_set("start").alias("starts")), "candidates")
     with_any = docs.join(small(per_doc.select("doc").distinct(), BROADCAST_KEYS), "doc", "left_semi").dropDuplicates(["doc"])
     near = with_any.join(per_doc, "doc").join(small(found_phrases.select("phrase", F.col("words").alias("p")), BROADCAST_ROWS), "phrase")
-    near = near.select("doc", "phrase", "words", "p", F.explode("starts").alias("start"))
+    near = near.select("doc", "phrase", F.transform("words", lower_word).alias("words"), "p", F.explode("starts").alias("start"))
     n = F.size("p")
     if slop == 0:
         same = F.slice("words", F.col("start") + 1, n) == F.col("p")
@@ -83,14 +100,14 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = 10, slop: int =
     scratch = Scratch(spark, "decontamination")
     key = F.xxhash64(F.coalesce("text", F.lit("")), F.length("text"))
     keyed = docs.select("doc_id", "text", key.alias("doc"))
-    words = keyed.select("doc", words_of(F.col("text")).alias("words"))
+    words = keyed.select("doc", split_words(F.col("text")).alias("words"))
     found = scratch.save(phrases(bench, size), "phrases")
     hits = occurrences(words, found, scratch, slop)
     hits = scratch.save(hits.join(small(found.select("phrase", "items"), BROADCAST_ROWS), "phrase").select("doc", "start", "span", "items"), "hits")
     spans = hits.groupBy("doc").agg(F.collect_set(F.struct("start", "span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("items", lambda i: i.cast("string")))))).alias("items"))
-    inside = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(F.greatest(s["start"], F.lit(0)), F.least(s["start"] + s["span"], F.col("n_words").cast("int")) - 1)))))
+    inside = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(F.greatest(s["start"], F.lit(0)), F.least(s["start"] + s["span"], F.col("n_words").cast("int") + 1) - 1)))))
     spans = spans.withColumnRenamed("doc", "hit_doc")
-    out = keyed.withColumn("n_words", F.size(words_of(F.col("text"))).cast("bigint")).join(spans, F.col("doc") == F.col("hit_doc"), "left")
+    out = keyed.withColumn("n_words", count_words(split_words(F.col("text")))).join(spans, F.col("doc") == F.col("hit_doc"), "left")
     n_hit = F.when(F.col("spans").isNull(), F.lit(0)).otherwise(inside).cast("bigint")
     return out.select("doc_id", "text", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
 
