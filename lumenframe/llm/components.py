@@ -77,7 +77,10 @@ def linked(postings: DataFrame, check: Callable[[DataFrame], DataFrame], scratch
         order = F.struct((-F.col("central")).alias("c"), F.xxhash64("id", F.lit(r)).alias("x")) if r == 0 else F.xxhash64("id", F.lit(r))
         hub = now.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("hub"), F.col("v").alias("hub_v"), F.col("comp").alias("hub_comp")), order).alias("h")).select("key", "h.*")
         pairs = now.join(hub, "key").where("comp <> hub_comp").where(fits(F.col("v"), F.col("hub_v")))
-        pairs = scratch.save(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "tried")
+        # of the hubs an item meets, the one it shares most keys with: at most one pair for each item
+        met = pairs.groupBy("id", "hub").agg(F.count(F.lit(1)).alias("k"))
+        best = met.groupBy("id").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
+        pairs = scratch.save(best.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "tried")
         if not pairs.isEmpty():
             learn(pairs)
             tried = pairs if tried is None else tried.unionByName(pairs)
