@@ -6,6 +6,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +96,7 @@ def chains(text: str) -> list[list[str]]:
     return [WORD.findall(x) for x in text.split("\n")]
 
 
-def token_labels(docs: list[tuple[int, list[str]]]) -> set[str]:
+def token_labels(docs: Iterable[tuple[int, list[str]]]) -> set[str]:
     """Lower-case words that count as toxic tokens: they, or their first four or five letters in several forms, are
     found in at least RARE of the toxic documents and hardly in others, by document frequencies of the labelled sample."""
     total = [0, 0]
@@ -129,8 +131,9 @@ def token_labels(docs: list[tuple[int, list[str]]]) -> set[str]:
 def fit(sample: list[tuple[int, str]], steps: int = STEPS) -> Field:
     """Fit on labelled documents (label 0 or 1, text) by full-batch Adam on the field's conditional likelihood."""
     field = Field()
-    split = [(y, chains(t)) for y, t in sample]
-    bad = token_labels([(y, [w for c in cs for w in c]) for y, cs in split])
+    # one object for each word, and token arrays of a part of the sample at a time: the driver's memory is small
+    split = [(y, [list(map(intern, c)) for c in chains(t)]) for y, t in sample]
+    bad = token_labels((y, [w for c in cs for w in c]) for y, cs in split)
     labels = np.array([lab for lab, _ in sample])
     lines = {False: [], True: []}
     for label, cs in split:
@@ -187,14 +190,25 @@ def fit(sample: list[tuple[int, str]], steps: int = STEPS) -> Field:
     field.own[used_own], field.left[used_near], field.right[used_near] = w[: cuts[1]], w[cuts[1] : cuts[2]], w[cuts[2] : cuts[3]]
     field.start, field.trans = float(w[cuts[3]]), w[cuts[4] :].reshape(2, 2).copy()
     index = {}
-    ids = np.array([index.setdefault(x, len(index)) for _, cs in split for c in cs for x in c])
-    starts = np.r_[0, np.cumsum([len(c) for _, cs in split for c in cs])]
+    for _, cs in split:
+        for c in cs:
+            for word in c:
+                index.setdefault(word, len(index))
     both = [features(x) for x in index]
     own, near = np.array([a for a, _ in both]), np.array([b for _, b in both])
     own_t = np.stack([field.own[own].sum(1), field.left[near].sum(1), field.right[near].sum(1)], 1)
-    e = emissions(own_t[ids, 0], own_t[ids, 1], own_t[ids, 2], starts)
-    odds = marginals(e, starts, field.start, field.trans)
-    x = document_logit(odds, np.r_[0, np.cumsum([sum(map(len, cs)) for _, cs in split])])
+    logits, part, size = [], [], 0
+    for i, (_, cs) in enumerate(split):
+        part.append(cs)
+        size += sum(map(len, cs))
+        if size >= CLEAN_TOKENS or i == len(split) - 1:
+            ids = np.fromiter((index[x] for cs in part for c in cs for x in c), np.int64, size)
+            starts = np.r_[0, np.cumsum([len(c) for cs in part for c in cs])]
+            e = emissions(own_t[ids, 0], own_t[ids, 1], own_t[ids, 2], starts)
+            odds = marginals(e, starts, field.start, field.trans)
+            logits.append(document_logit(odds, np.r_[0, np.cumsum([sum(map(len, cs)) for cs in part])]))
+            part, size = [], 0
+    x = np.concatenate(logits)
     for _ in range(200):  # Platt scaling of the summed odds
         p = 1 / (1 + np.exp(-(field.scale * x + field.shift)))
         h = np.maximum(p * (1 - p), 1e-6)
