@@ -157,3 +157,33 @@ def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf).toPandas()
     docs = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
     assert set(out["doc_id"]) <= docs and len(set(out["doc_id"])) > 100 and (out.groupby("sequence_id")["length"].sum() <= 4096).all()
+
+
+def test_edit_bound_by_brute_force():
+    from lumenframe.llm.line_dedup import within
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = np.random.default_rng(1)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice(list("abcé"), rng.integers(0, 14))) for _ in range(2))
+        for most in (0, 1, 3, 6):
+            assert within(a, b, most) == (distance(a, b) <= most)
+
+
+def test_line_keys_keep_allowed_lengths_together():
+    from lumenframe.llm.line_dedup import block_keys
+
+    size = np.arange(1, 400, dtype=np.int32)
+    keys = [set(k) for k in block_keys(np.full(len(size), 12345, np.int64), size).tolist()]
+    for i, a in enumerate(size):
+        for j in range(i, len(size)):
+            if 100 * int(a) >= 80 * int(size[j]):
+                assert keys[i] & keys[j]
