@@ -187,3 +187,34 @@ def test_line_keys_keep_allowed_lengths_together():
         for j in range(i, len(size)):
             if 100 * int(a) >= 80 * int(size[j]):
                 assert keys[i] & keys[j]
+
+
+def test_lines_alike_by_brute_force(spark):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefghiklmnoprstu"), rng.integers(2, 9))) for _ in range(400)]
+    lines = []
+    for n in (1, 2, 3, 6, 10, 16, 30, 60, 150):
+        for _ in range(6):
+            w = list(rng.choice(words, n))
+            lines.append(" ".join(w))
+            for share in (0.05, 0.1, 0.15):
+                x = [rng.choice(words) if rng.random() < share else y for y in w]  # words replaced
+                lines.append(" ".join(x))
+                x = list(" ".join(w))
+                for _ in range(max(1, int(len(x) * share / 2))):  # letters replaced, left out or added
+                    i, kind = rng.integers(len(x)), rng.integers(3)
+                    x[i : i + 1] = [[rng.choice(list("xyz"))], [], [x[i], rng.choice(list("xyz"))]][kind] if len(x) > 1 else x
+                lines.append("".join(x))
+    lines = [x for x in (" ".join(x.split()) for x in lines) if x]
+    rng.shuffle(lines)
+    group = list(range(len(lines)))
+    for j, b in enumerate(lines):
+        for i in range(j):
+            a, most = lines[i], max(len(lines[i]), len(b)) // 5
+            if group[i] != group[j] and line_dedup.within(a, b, most):
+                lo, hi = sorted((group[i], group[j]))
+                group = [lo if g == hi else g for g in group]
+    want = {i // 8: [lines[j] for j in range(i, min(i + 8, len(lines))) if group[j] == j] for i in range(0, len(lines), 8)}
+    docs = spark.createDataFrame([(i // 8, "\n".join(lines[i : i + 8])) for i in range(0, len(lines), 8)], "doc_id long, text string")
+    got = {r.doc_id: [x for x in r.text.split("\n") if x] for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert got == want and len(set(group)) < len(lines) / 2
