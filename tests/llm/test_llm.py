@@ -218,3 +218,13 @@ def test_lines_alike_by_brute_force(spark):
     docs = spark.createDataFrame([(i // 8, "\n".join(lines[i : i + 8])) for i in range(0, len(lines), 8)], "doc_id long, text string")
     got = {r.doc_id: [x for x in r.text.split("\n") if x] for r in line_dedup.without_repeated_lines(docs).collect()}
     assert got == want and len(set(group)) < len(lines) / 2
+
+
+def test_short_lines_meet_without_loss():
+    rng = np.random.default_rng(2)
+    lines = sorted({"".join(rng.choice(list("ab "), rng.integers(1, 10))).strip() or "a" for _ in range(400)} | {"".join(rng.choice(list("abcd"), 8)) + x for x in ("efghijklm", "efxhijylm", "zfghyjklm", "efgxhijkm") for _ in range(20)})
+    keys = [set() for _ in lines]
+    for i, k in zip(*line_dedup.line_keys(lines), strict=True):
+        keys[i].add(int(k))
+    near = [(i, j) for j, b in enumerate(lines) for i, a in enumerate(lines[:j]) if line_dedup.within(a, b, max(len(a), len(b)) // 5)]
+    assert len(near) > 100 and all(keys[i] & keys[j] for i, j in near)
