@@ -228,3 +228,16 @@ def test_short_lines_meet_without_loss():
         keys[i].add(int(k))
     near = [(i, j) for j, b in enumerate(lines) for i, a in enumerate(lines[:j]) if line_dedup.within(a, b, max(len(a), len(b)) // 5)]
     assert len(near) > 100 and all(keys[i] & keys[j] for i, j in near)
+
+
+def test_pipeline_drops_copies_with_blank_lines(spark):
+    import re
+
+    import corpus_pipeline
+
+    one = re.compile(f"[{line_dedup.WHITE}]")
+    assert all(bool(one.match(chr(i))) == chr(i).isspace() for i in range(0x110000))
+    text = "a first line of some words\n\n \u3000\t\nanother line of words\n"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "\n \n"), (4, text + "own"), (5, None)], "doc_id long, text string").selectExpr("*", "'en' lang", "'x' source", "length(text) n_chars")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {1: text, 3: "\n \n", 4: "\n \u3000\t\nown", 5: None}
