@@ -407,6 +407,21 @@ def _(t):
     return read.with_position(top, "s").select(F.col("s.o_orderkey").alias("o_orderkey"), (F.col(POS) + 1).cast("int").alias("rn"))
 
 
+_O3 = "(SELECT *, {'p': o_orderpriority, 't': o_totalprice, 'k': o_orderkey} AS s FROM orders)"
+
+
+@query("o3_struct_compare", "SELECT o_orderkey, s < {'p': '3-MEDIUM', 't': 100000.0::DOUBLE, 'k': 0::BIGINT} AS below FROM " + _O3)
+def _(t):
+    s, other = F.struct("o_orderpriority", "o_totalprice", "o_orderkey"), F.struct(F.lit("3-MEDIUM"), F.lit(100000.0), F.lit(0).cast("bigint"))
+    return t("orders").select("o_orderkey", (s < other).alias("below"))
+
+
+@query("o3_struct_extremes", "SELECT o_custkey, min(s).k AS lo, max(s).k AS hi FROM " + _O3 + " GROUP BY 1")
+def _(t):
+    s = F.struct("o_orderpriority", "o_totalprice", "o_orderkey")
+    return t("orders").groupBy("o_custkey").agg(F.min(s)["o_orderkey"].alias("lo"), F.max(s)["o_orderkey"].alias("hi"))
+
+
 @query("o6_slice", "SELECT vec_id, embedding[3:7] AS v FROM embeddings")
 def _(t):
     return t("embeddings").select("vec_id", V.slice_(F.col("embedding"), 2, 5).alias("v"))
@@ -632,19 +647,36 @@ def _(t):
 _SEG = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
-@query("w_movielens", "WITH j AS (SELECT n_name AS title, c_mktsegment AS g, o_totalprice AS rating FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), a AS (SELECT title FROM j GROUP BY 1 HAVING count(*) >= 30), p AS (SELECT title, " + ", ".join(f"avg(rating) FILTER (g = '{s}') AS {s}" for s in _SEG) + " FROM j GROUP BY 1) SELECT title, " + ", ".join(f"round({s}, 4) AS {s}" for s in _SEG) + ", round(AUTOMOBILE - BUILDING, 4) AS diff FROM p WHERE title IN (SELECT title FROM a) ORDER BY AUTOMOBILE - BUILDING, title LIMIT 10")
-def _(t):
+def _movielens(t):
+    """Ratings with their title, active titles, and mean ratings of those by title and group with the difference of two."""
     users = t("customer").select(F.col("c_custkey").alias("user"), F.col("c_mktsegment").alias("g"), F.col("c_nationkey").alias("movie"))
     ratings = t("orders").select(F.col("o_custkey").alias("user"), F.col("o_totalprice").alias("rating"))
     movies = t("nation").select(F.col("n_nationkey").alias("movie"), F.col("n_name").alias("title"))
     data = R.merge(R.merge(ratings, users), F.broadcast(movies))
     active = R.GroupBy(data, "title").size().where("size >= 30")
     p = R.pivot_table(data, "rating", "title", "g", _SEG, "mean").loc(active)
-    p = p.with_column("diff", F.col("AUTOMOBILE") - F.col("BUILDING"))
-    out = R.top_k(p.df, 10, F.asc("diff"), F.asc("title"))
+    return data, active, p.with_column("diff", F.col("AUTOMOBILE") - F.col("BUILDING"))
+
+
+@query("w_movielens", "WITH j AS (SELECT n_name AS title, c_mktsegment AS g, o_totalprice AS rating FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), a AS (SELECT title FROM j GROUP BY 1 HAVING count(*) >= 30), p AS (SELECT title, " + ", ".join(f"avg(rating) FILTER (g = '{s}') AS {s}" for s in _SEG) + " FROM j GROUP BY 1) SELECT title, " + ", ".join(f"round({s}, 4) AS {s}" for s in _SEG) + ", round(AUTOMOBILE - BUILDING, 4) AS diff FROM p WHERE title IN (SELECT title FROM a) ORDER BY AUTOMOBILE - BUILDING, title LIMIT 10")
+def _(t):
+    out = R.top_k(_movielens(t)[2].df, 10, F.asc_nulls_last("diff"), F.asc("title"))
     return out.select("title", *[F.round(c, 4).alias(c) for c in [*_SEG, "diff"]])
 
 
+@query("w_movielens_diff", "WITH j AS (SELECT n_name AS title, c_mktsegment AS g, o_totalprice AS rating FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), a AS (SELECT title FROM j GROUP BY 1 HAVING count(*) >= 30), p AS (SELECT title, " + ", ".join(f"avg(rating) FILTER (g = '{s}') AS {s}" for s in _SEG) + " FROM j GROUP BY 1) SELECT title, " + ", ".join(f"round({s}, 4) AS {s}" for s in _SEG) + ", round(AUTOMOBILE - BUILDING, 4) AS diff FROM p WHERE title IN (SELECT title FROM a) ORDER BY AUTOMOBILE - BUILDING, title")
+def _(t):
+    out = _movielens(t)[2].df.orderBy(F.asc_nulls_last("diff"), "title")
+    return out.select("title", *[F.round(c, 4).alias(c) for c in [*_SEG, "diff"]])
+
+
+@query("w_movielens_deviation", "SELECT n_name AS title, round(stddev_samp(o_totalprice), 2) AS deviation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 HAVING count(*) >= 30 ORDER BY stddev_samp(o_totalprice) DESC, title LIMIT 10")
+def _(t):
+    data, active, _ = _movielens(t)
+    std = data.groupBy("title").agg(F.stddev_samp("rating").alias("deviation")).join(active, "title", "left_semi")
+    return R.top_k(std, 10, F.desc("deviation"), F.asc("title")).select("title", F.round("deviation", 2).alias("deviation"))
+
+
 @query("w_births", "WITH b AS (SELECT year(l_shipdate)::INTEGER AS y, l_returnflag AS sex, p_name AS name, sum(l_quantity) AS births FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3), top AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY y, sex ORDER BY births DESC, name) <= 100), p AS (SELECT y, " + ", ".join(f"sum(births) FILTER (sex = '{x}') AS {x}" for x in "ANR") + " FROM top WHERE contains(lower(name), 'a') GROUP BY 1) SELECT y, " + ", ".join(f"round({x} / (coalesce(A, 0) + coalesce(N, 0) + coalesce(R, 0)), 6) AS {x}" for x in "ANR") + " FROM p")
 def _(t):
     names = t("part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))
