@@ -84,15 +84,16 @@ def occurrences(docs: DataFrame, found_phrases: DataFrame, scratch: Scratch, slo
     if slop == 0:
         same = F.slice("words", F.col("start") + 1, n) == F.col("p")
     else:
-        same = F.expr(f"forall(transform(p, (x, o) -> array_contains(slice(words, greatest(start + o - {slop}, 0) + 1, start + o + {slop} + 1 - greatest(start + o - {slop}, 0)), x)), y -> y)")
-    return near.where(same).select("doc", "phrase", "start", (n + 2 * slop).alias("span"))
+        same = F.expr(f"forall(transform(p, (x, o) -> array_contains(slice(words, greatest(start + o - {slop}, 0) + 1, greatest(start + o + {slop} + 1 - greatest(start + o - {slop}, 0), 0)), x)), y -> y)")
+    return near.where(same).select("doc", "phrase", (F.col("start") - slop).alias("start"), (n + 2 * slop).alias("span"))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, size: int = 10, slop: int = 0) -> DataFrame:
     """doc_id, text, n_words, n_hit, items, contaminated for every row of docs(doc_id, text) against bench(item_id, text).
 
     n_hit counts the words inside occurrences of test windows of `size` words (whole items if shorter); items are the
-    ids, as strings in order, of items with a window that occurs. Null texts have no words; items without words have
+    ids, as strings in order, of items with a window that occurs. With slop, each term may lie up to that many words off its place, and the words
+    inside are all those in which a term of the window was allowed. Null texts have no words; items without words have
     no windows. Repeated rows are judged one by one; rows with a null doc_id are judged like any other. Columns of docs
     other than those two are left alone. Empty tables: no rows, or no hits.
     """
@@ -105,9 +106,11 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = 10, slop: int =
     hits = occurrences(words, found, scratch, slop)
     hits = scratch.save(hits.join(small(found.select("phrase", "items"), BROADCAST_ROWS), "phrase").select("doc", "start", "span", "items"), "hits")
     spans = hits.groupBy("doc").agg(F.collect_set(F.struct("start", "span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("items", lambda i: i.cast("string")))))).alias("items"))
-    inside = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(F.greatest(s["start"], F.lit(0)), F.least(s["start"] + s["span"], F.col("n_words").cast("int") + 1) - 1)))))
+    # words lie from `lead` on, after the empty one at the beginning if there is one
+    inside = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(F.greatest(s["start"], F.col("lead")), F.least(s["start"] + s["span"], F.col("n_words").cast("int") + F.col("lead")) - 1)))))
     spans = spans.withColumnRenamed("doc", "hit_doc")
-    out = keyed.withColumn("n_words", count_words(split_words(F.col("text")))).join(spans, F.col("doc") == F.col("hit_doc"), "left")
+    split = split_words(F.col("text"))
+    out = keyed.withColumn("n_words", count_words(split)).withColumn("lead", F.when(split[0] == "", 1).otherwise(0)).join(spans, F.col("doc") == F.col("hit_doc"), "left")
     n_hit = F.when(F.col("spans").isNull(), F.lit(0)).otherwise(inside).cast("bigint")
     return out.select("doc_id", "text", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
 

@@ -241,3 +241,20 @@ def test_pipeline_drops_copies_with_blank_lines(spark):
     docs = spark.createDataFrame([(1, text), (2, text), (3, "\n \n"), (4, text + "own"), (5, None)], "doc_id long, text string").selectExpr("*", "'en' lang", "'x' source", "length(text) n_chars")
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert got == {1: text, 3: "\n \n", 4: "\n \u3000\t\nown", 5: None}
+
+
+def test_decontamination_with_slop(spark):
+    terms = "one two three four five six".split()
+    bench = spark.createDataFrame([(1, " ".join(terms))], "item_id long, text string")
+    texts = ["a b one two four three five six c d", "one two three four five six", ", one two three four five x six.", "a six five four three two one", "x y z two one four three six five", "a b c d", "two one three four five six tail end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for slop in (0, 1, 2):
+        want = {}
+        for i, t in enumerate(texts):
+            w = [x for x in t.replace(",", " ").replace(".", " ").split()]
+            inside = set()
+            for start in range(-slop - 6, len(w) + slop + 6):
+                if all(x in w[max(start + o - slop, 0) : max(start + o + slop + 1, 0)] for o, x in enumerate(terms)):
+                    inside |= set(range(start - slop, start + len(terms) + slop)) & set(range(len(w)))
+            want[i] = (len(w), len(inside))
+        assert {r.doc_id: (r.n_words, r.n_hit) for r in decontam.contamination(docs, bench, slop=slop).collect()} == want
