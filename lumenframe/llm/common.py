@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,15 +28,35 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one if all run on this
+    machine; else this raises."""
     put = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if put:
         return put.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="lumenframe-"))
     return _own[0]
 
 
+#: Bytes of an Arrow batch that goes to a Python worker while an operator writes its tables.
+BATCH = 4 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Whole batches pass through the memory of the JVM and of Python at once, several times over. Within this block they
+    are bounded by bytes, not by rows alone; the session's own setting returns after it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Intermediate tables of one operator call, written as Parquet to the shared folder.
 
@@ -46,14 +69,20 @@ class Scratch:
         self.n = 0
         atexit.register(self.drop)
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
+    def sweep(self) -> None:
+        """Let the files of finished shuffles go: Spark deletes them once the driver has collected the plans."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         try:
             jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
@@ -70,6 +99,22 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+#: Groups that may be hot: those of more than this part of all rows are no more than this number.
+HOT = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of groups(key, n, ...) of their key, nulls if there are none; n is how many rows a group has.
+
+    A group of more than 1 / HOT of all rows would fill one task: these, HOT at most, are broadcast, and their rows stay
+    where they are. `groups` is read three times, so it should be a written table.
+    """
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(groups.where(F.col("n") * HOT > total).drop("n"))
+    cold = groups.where(F.col("n") * HOT <= total).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key, "left").select(*rows.join(hot, key).columns))
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it was counted to hold no more than `rows` rows of fixed width; else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -147,6 +192,23 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 #: Cells per row that a sketch's table is cut into for merging.
 CHUNK = 1 << 20
+#: A step of a packed list that leads to no number.
+SKIP = 0xFFFF
+
+
+def packed(x: np.ndarray) -> np.ndarray:
+    """Ascending numbers as 16-bit steps from one to the next, with a SKIP for each whole SKIP in a longer step."""
+    step = np.diff(x, prepend=np.uint32(0))
+    skips = step // SKIP
+    if not skips.any():
+        return step.astype(np.uint16)
+    out = np.full(len(x) + int(skips.sum()), SKIP, np.uint16)
+    out[np.arange(len(x)) + np.cumsum(skips, dtype=np.int64)] = step % SKIP
+    return out
+
+
+def unpacked(step: np.ndarray) -> np.ndarray:
+    return np.cumsum(step, dtype=np.int64)[step != SKIP]
 
 
 class RepeatSketch:
@@ -199,7 +261,7 @@ class RepeatSketch:
         chunk = c >> np.uint32(20)
         cuts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True])
         rows = [(int(chunk[a]), c[a:b] & np.uint32(CHUNK - 1), n[a:b] > 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        pack = lambda x: zlib.compress(np.diff(x, prepend=np.uint32(0)).astype(np.uint32).tobytes(), 1)
+        pack = lambda x: packed(x).tobytes()
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([pack(x[~m]) for _, x, m in rows], pa.binary()), pa.array([pack(x[m]) for _, x, m in rows], pa.binary())], ["chunk", "once", "twice"])
 
     def merged(self, partials: DataFrame) -> np.ndarray:
@@ -218,8 +280,8 @@ class RepeatSketch:
                         if at is not None:
                             yield row()
                         at, once, twice = chunk, np.zeros(width, bool), np.zeros(width, bool)
-                    for packed, many in ((a, False), (t, True)):
-                        x = np.cumsum(np.frombuffer(zlib.decompress(packed), np.uint32), dtype=np.int64)
+                    for part, many in ((a, False), (t, True)):
+                        x = unpacked(np.frombuffer(part, np.uint16))
                         twice[x] |= True if many else once[x]
                         once[x] = True
             if at is not None:
@@ -239,6 +301,20 @@ class RepeatSketch:
         return out
 
 
+def members(ids: DataFrame, scratch: Scratch, depth: int = 4) -> tuple[Callable[[np.ndarray], np.ndarray], Broadcast]:
+    """A mask of 64-bit values that may be among ids(one column), as a function that tasks can call, and the table it
+    reads, to be destroyed when done. All that are among them pass; of others few, and more from some 10^8 ids on, as
+    the table has 64 MB at most."""
+    sketch = RepeatSketch.sized(2.0 * ids.count(), depth)
+
+    def count(batches):
+        # each twice, as the sketch tells what occurs twice
+        yield from sketch.partial(mix(np.repeat(b.column(0).to_numpy().view(np.uint64), 2)) for b in batches)
+
+    bits = scratch.spark.sparkContext.broadcast(sketch.merged(ids.mapInArrow(count, RepeatSketch.schema)))
+    return lambda x: sketch.repeated(mix(x.view(np.uint64)), bits.value), bits
+
+
 class CountSketch:
     """One row of a count-min sketch with full counts, 2**LOG cells of 4 bytes: tells very frequent items from others."""
 

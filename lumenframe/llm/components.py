@@ -51,12 +51,14 @@ def linked(postings: DataFrame, check: Callable[[DataFrame], DataFrame], scratch
     First some rounds in which each key has one member, the most central or one drawn by a hash, checked against its
     members of other components: a large group of like items falls together without pairs within it. Then every
     remaining pair that shares a key across two components is checked. A pair within a component needs no check, so no
-    link between components is lost. Pairs are never formed within a component.
+    link between components is lost. Pairs are never formed within a component: in the last step the members of a key
+    outside its largest component meet the others.
     """
     shared = postings.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     p = scratch.save(postings.join(shared, "key"), "postings")
     if p.isEmpty():
         return None
+    scratch.sweep()
     comp, links, tried = None, None, None
 
     def current():
@@ -72,7 +74,7 @@ def linked(postings: DataFrame, check: Callable[[DataFrame], DataFrame], scratch
         links = found if links is None else links.unionByName(found)
         comp = components(links, scratch)
 
-    now = scratch.save(current(), "members")
+    now = current()
     for r in range(rounds):
         order = F.struct((-F.col("central")).alias("c"), F.xxhash64("id", F.lit(r)).alias("x")) if r == 0 else F.xxhash64("id", F.lit(r))
         hub = now.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("hub"), F.col("v").alias("hub_v"), F.col("comp").alias("hub_comp")), order).alias("h")).select("key", "h.*")
@@ -84,16 +86,16 @@ def linked(postings: DataFrame, check: Callable[[DataFrame], DataFrame], scratch
         if not pairs.isEmpty():
             learn(pairs)
             tried = pairs if tried is None else tried.unionByName(pairs)
-            scratch.drop(now)
+            if now is not None and hasattr(now, "scratch_path"):
+                scratch.drop(now)
+            scratch.sweep()
             now = scratch.save(current(), "members")
         if now.isEmpty():  # no key is shared across components any more
             return comp
-    sides = now.select("key", "comp").distinct()
-    across = sides.alias("x").join(sides.alias("y"), F.expr("x.key = y.key AND x.comp < y.comp")).select("x.key", F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
-    of = lambda i, c, v: now.select("key", F.col("comp").alias(c), F.col("id").alias(i), F.col("v").alias(v))
-    second = now.select(F.col("key").alias("k2"), F.col("comp").alias("c2"), F.col("id").alias("j"), F.col("v").alias("vb"))
-    first = across.join(of("i", "ca", "va"), ["key", "ca"])
-    pairs = first.join(second, (first["key"] == second["k2"]) & (first["cb"] == second["c2"]) & fits(first["va"], second["vb"]))
+    most = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"))
+    first = now.join(most, "key").select("key", F.col("id").alias("i"), F.col("v").alias("va"), F.col("comp").alias("ca"), "most")
+    second = now.join(most, "key").where("comp <> most").select(F.col("key").alias("k2"), F.col("id").alias("j"), F.col("v").alias("vb"), F.col("comp").alias("cb"))
+    pairs = first.join(second, (F.col("key") == F.col("k2")) & (F.col("ca") != F.col("cb")) & ((F.col("ca") == F.col("most")) | (F.col("ca") < F.col("cb"))) & fits(F.col("va"), F.col("vb")))
     need = enough(F.col("va"), F.col("vb")) if enough is not None else F.lit(1)
     pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), need.alias("need"))
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
