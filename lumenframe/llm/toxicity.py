@@ -5,19 +5,21 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterable
-from sys import intern
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import CACHE, chunked, table
 
 #: Bound of the sample the field is fitted on: documents of either label, drawn by a hash of doc_id.
 TOXIC_DOCS, CLEAN_DOCS = 1200, 2400
+#: Letters of a document that may be drawn, and of all that are: what the driver holds is bounded by the latter.
+DOC_LETTERS, SAMPLE_LETTERS = 200_000, 32_000_000
 #: Of their lines without a toxic token, drawn by a hash, the field is fitted on so many tokens at most.
 CLEAN_TOKENS = 300_000
 #: Features are hashed to so many weights.
@@ -96,68 +98,98 @@ def chains(text: str) -> list[list[str]]:
     return [WORD.findall(x) for x in text.split("\n")]
 
 
-def token_labels(docs: Iterable[tuple[int, list[str]]]) -> set[str]:
+def token_labels(docs: Callable[[], Iterable[tuple[int, set[str]]]]) -> set[str]:
     """Lower-case words that count as toxic tokens: they, or their first four or five letters in several forms, are
-    found in at least RARE of the toxic documents and hardly in others, by document frequencies of the labelled sample."""
+    found in at least RARE of the toxic documents and hardly in others, by document frequencies of the labelled sample.
+
+    docs() yields (label, lower-case words) of each document, anew at each call: only words of toxic documents are
+    counted, so the others aren't held."""
     total = [0, 0]
-    seen: dict[str, list[int]] = {}
-    stems: dict[str, list[int]] = {}
-    forms: dict[str, set[str]] = {}
+    once: list[bool] = []
     owners: dict[int, list[int]] = {}
-    for d, (y, ws) in enumerate(docs):
-        ws = {w.lower() for w in set(ws)}
+    for d, (y, ws) in enumerate(docs()):
         least = sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in ws if len(w) > 6)[:16]
         like = Counter(o for h in least for o in owners.get(h, ()))
-        if like and 2 * max(like.values()) > len(least):
-            continue  # near copies of one document count once
-        for h in least:
-            owners.setdefault(h, []).append(d)
-        total[y] += 1
-        for w in ws:
-            seen.setdefault(w, [0, 0])[y] += 1
-        for s in {w[:n] for w in ws for n in (4, 5) if len(w) > n}:
-            stems.setdefault(s, [0, 0])[y] += 1
-        if y:
-            for w in ws:
-                for n in (4, 5):
-                    if len(w) > n:
-                        forms.setdefault(w[:n], set()).add(w)
+        once.append(not like or 2 * max(like.values()) <= len(least))
+        if once[-1]:  # near copies of one document count once
+            for h in least:
+                owners.setdefault(h, []).append(d)
+            total[y] += 1
+    del owners
+    stems_of = lambda ws: {w[:n] for w in ws for n in (4, 5) if len(w) > n}
+    words, stems = Counter(), Counter()
+    for first, (y, ws) in zip(once, docs(), strict=True):
+        if first and y:
+            words.update(ws)
+            stems.update(stems_of(ws))
+    forms = Counter(s for w in words for s in stems_of([w]))
+    clean_words, clean_stems = Counter(), Counter()
+    for first, (y, ws) in zip(once, docs(), strict=True):
+        if first and not y:
+            clean_words.update(ws & words.keys())
+            clean_stems.update(stems_of(ws) & stems.keys())
     clean, toxic = total
-    much = lambda n, least: n[1] >= max(least, RARE * toxic) and (n[1] / (toxic + 1)) >= 25 * ((n[0] + 0.1) / (clean + 1))
-    good = {s for s, n in stems.items() if much(n, 2) and len(forms.get(s, ())) >= 4}
-    return {w for w, n in seen.items() if n[1] and (much(n, 4) or (n[0] == 0 and any(w[:k] in good for k in (4, 5) if len(w) > k)))}
-
-
-def fit(sample: list[tuple[int, str]], steps: int = STEPS) -> Field:
-    """Fit on labelled documents (label 0 or 1, text) by full-batch Adam on the field's conditional likelihood."""
+    much = lambda n, of, least: n >= max(least, RARE * toxic) and n / (toxic + 1) >= 25 * ((of + 0.1) / (clean + 1))
+    good = {s for s, n in stems.items() if forms[s] >= 4 and much(n, clean_stems[s], 2)}
+    return {w for w, n in words.items() if much(n, clean_words[w], 4) or (not clean_words[w] and any(w[:k] in good for k in (4, 5) if len(w) > k))}
+
+
+class Sample:
+    """Labelled documents as arrays: word ids end to end, the ends of their lines that have words, and of each document
+    the number of these lines."""
+
+    def __init__(self, docs: Iterable[tuple[int, str]]):
+        ids, ends, lines, labels = array("i"), array("q", [0]), array("q", [0]), array("b")
+        index: dict[str, int] = {}
+        for y, text in docs:
+            for words in chains(text):
+                if words:
+                    ids.extend([index.setdefault(w, len(index)) for w in words])
+                    ends.append(len(ids))
+            lines.append(len(ends) - 1)
+            labels.append(y)
+        self.words = list(index)
+        self.ids, self.ends, self.lines, self.labels = (np.array(x) for x in (ids, ends, lines, labels))
+
+    def tokens(self, line: int) -> np.ndarray:
+        return self.ids[self.ends[line] : self.ends[line + 1]]
+
+    def documents(self):
+        for y, a, b in zip(self.labels.tolist(), self.lines[:-1], self.lines[1:], strict=True):
+            yield y, {self.words[i].lower() for i in set(self.ids[self.ends[a] : self.ends[b]].tolist())}
+
+
+def feature_table(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    own, near = np.empty((len(words), 8), np.int32), np.empty((len(words), 2), np.int32)
+    for i, w in enumerate(words):
+        own[i], near[i] = features(w)
+    return own, near
+
+
+def fit(sample: Iterable[tuple[int, str]], steps: int = STEPS) -> Field:
+    """Fit on labelled documents (label 0 or 1, text) by full-batch Adam on the field's conditional likelihood. Without
+    documents of both labels, or without tokens to tell them by, the field scores every document low."""
     field = Field()
-    # one object for each word, and token arrays of a part of the sample at a time: the driver's memory is small
-    split = [(y, [list(map(intern, c)) for c in chains(t)]) for y, t in sample]
-    bad = token_labels((y, [w for c in cs for w in c]) for y, cs in split)
-    labels = np.array([lab for lab, _ in sample])
-    lines = {False: [], True: []}
-    for label, cs in split:
-        for c in cs:
-            marks = [label == 1 and w.lower() in bad for w in c]
-            lines[any(marks)].append((c, marks))
-    if not bad or not lines[True] or len(set(labels)) < 2:
+    part = Sample(sample)
+    labels = part.labels.astype(np.int64)
+    bad = token_labels(part.documents)
+    toxic = np.fromiter((w.lower() in bad for w in part.words), bool, len(part.words))
+    length = np.diff(part.ends)
+    marks = toxic[part.ids] & np.repeat(np.repeat(labels == 1, np.diff(part.lines)), length)
+    hit = np.add.reduceat(marks, part.ends[:-1], dtype=np.int64) > 0 if len(length) else np.zeros(0, bool)
+    if not hit.any() or len(set(labels.tolist())) < 2:
         field.shift = -5.0
         return field
-    lines[False].sort(key=lambda x: zlib.crc32(" ".join(x[0]).encode("utf-8", "surrogatepass")))
-    size, used = 0, lines[True]
-    for x in lines[False]:
-        if x[0] and size < CLEAN_TOKENS:
-            size += len(x[0])
-            used.append(x)
-    index: dict[str, int] = {}
-    ids, y, starts = [], [], [0]
-    for c, marks in used:
-        ids += [index.setdefault(w, len(index)) for w in c]
-        y += marks
-        starts.append(len(ids))
-    ids, y, starts = np.array(ids), np.array(y, np.float64), np.array(starts)
-    both = [features(w) for w in index]
-    own, near = np.array([a for a, _ in both]), np.array([b for _, b in both])
+    clean = np.flatnonzero(~hit)
+    drawn = np.array([zlib.crc32(" ".join(part.words[i] for i in part.tokens(x)).encode("utf-8", "surrogatepass")) for x in clean], np.int64)
+    clean = clean[np.argsort(drawn, kind="stable")]
+    before = np.cumsum(length[clean]) - length[clean]
+    used = np.r_[np.flatnonzero(hit), clean[before < CLEAN_TOKENS]]
+    at = np.concatenate([np.arange(part.ends[x], part.ends[x + 1]) for x in used])
+    kinds, ids = np.unique(part.ids[at], return_inverse=True)
+    y, starts = marks[at].astype(np.float64), np.r_[0, np.cumsum(length[used])]
+    index = [part.words[i] for i in kinds]
+    own, near = feature_table(index)
     used_own, own = np.unique(own, return_inverse=True)
     used_near, near = np.unique(near, return_inverse=True)
     own, near = own.reshape(len(index), -1), near.reshape(len(index), -1)
@@ -189,25 +221,18 @@ def fit(sample: list[tuple[int, str]], steps: int = STEPS) -> Field:
         w = w - 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     field.own[used_own], field.left[used_near], field.right[used_near] = w[: cuts[1]], w[cuts[1] : cuts[2]], w[cuts[2] : cuts[3]]
     field.start, field.trans = float(w[cuts[3]]), w[cuts[4] :].reshape(2, 2).copy()
-    index = {}
-    for _, cs in split:
-        for c in cs:
-            for word in c:
-                index.setdefault(word, len(index))
-    both = [features(x) for x in index]
-    own, near = np.array([a for a, _ in both]), np.array([b for _, b in both])
-    own_t = np.stack([field.own[own].sum(1), field.left[near].sum(1), field.right[near].sum(1)], 1)
-    logits, part, size = [], [], 0
-    for i, (_, cs) in enumerate(split):
-        part.append(cs)
-        size += sum(map(len, cs))
-        if size >= CLEAN_TOKENS or i == len(split) - 1:
-            ids = np.fromiter((index[x] for cs in part for c in cs for x in c), np.int64, size)
-            starts = np.r_[0, np.cumsum([len(c) for cs in part for c in cs])]
-            e = emissions(own_t[ids, 0], own_t[ids, 1], own_t[ids, 2], starts)
-            odds = marginals(e, starts, field.start, field.trans)
-            logits.append(document_logit(odds, np.r_[0, np.cumsum([sum(map(len, cs)) for cs in part])]))
-            part, size = [], 0
+    of = np.empty((len(part.words), 3), np.float32)
+    for i in range(0, len(of), 20_000):
+        own, near = feature_table(part.words[i : i + 20_000])
+        of[i : i + 20_000] = np.stack([field.own[own].sum(1), field.left[near].sum(1), field.right[near].sum(1)], 1)
+    logits, first = [], 0
+    for d in range(len(labels)):  # a part of the sample at a time
+        a, b = part.ends[part.lines[first]], part.ends[part.lines[d + 1]]
+        if b - a >= CLEAN_TOKENS or d == len(labels) - 1:
+            ids, starts = part.ids[a:b], part.ends[part.lines[first] : part.lines[d + 1] + 1] - a
+            odds = marginals(emissions(of[ids, 0], of[ids, 1], of[ids, 2], starts), starts, field.start, field.trans)
+            logits.append(document_logit(odds, part.ends[part.lines[first : d + 2]] - a))
+            first = d + 1
     x = np.concatenate(logits)
     for _ in range(200):  # Platt scaling of the summed odds
         p = 1 / (1 + np.exp(-(field.scale * x + field.shift)))
@@ -228,14 +253,18 @@ def document_logit(odds: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, usable=None) -> list[tuple[int, str]]:
-    """At most TOXIC_DOCS and CLEAN_DOCS labelled documents, those with the smallest hashes of their doc_id."""
+    """At most TOXIC_DOCS and CLEAN_DOCS labelled documents, those with the smallest hashes of their doc_id, of one row
+    each and DOC_LETTERS letters at most; of these, by the same order, as many as have SAMPLE_LETTERS in all."""
     one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if usable is not None:
         one = one.where(usable)
     by = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = one.where("toxic = 1").orderBy(*by).limit(TOXIC_DOCS).unionByName(one.where("toxic = 0").orderBy(*by).limit(CLEAN_DOCS))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text").collect()
-    return [(r.toxic, r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))][: 4 * (TOXIC_DOCS + CLEAN_DOCS)]
+    rows = docs.select("doc_id", "text").where(F.length("text") <= DOC_LETTERS).join(F.broadcast(ids), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # of rows that share a doc_id, one
+    so_far = F.sum(F.length("text")).over(Window.orderBy(*by))  # no more than TOXIC_DOCS + CLEAN_DOCS rows
+    rows = rows.withColumn("letters", so_far).where(F.col("letters") <= SAMPLE_LETTERS).select("doc_id", "toxic", "text").collect()
+    return [(r.toxic, r.text) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:
@@ -307,6 +336,7 @@ def held_out(doc_id="doc_id"):
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, by a field fitted on labels of documents that aren't held out."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     field = fit(training_sample(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), ~held_out()))
     out = score(docs, field)
