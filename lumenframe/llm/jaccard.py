@@ -10,11 +10,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CountSketch, RepeatSketch, Scratch, WordHash, chunked, signed, table, text_bytes, windows, word_hashes
+from .common import CountSketch, RepeatSketch, Scratch, WordHash, chunked, join_groups, signed, table, text_bytes, windows, word_hashes
 from .components import linked
 
 #: Longest multi-match, and the cost of verifying a candidate in units of reading a posting.
@@ -125,17 +124,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         both = F.size(F.array_intersect("ha", "hb"))
         return pairs.where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
+    bits.destroy()
+    often.destroy()
     comp = linked(postings, check, scratch, fits, enough=lambda x, y: F.least(x["l"], y["l"]))
-    if comp is None:
-        rows = sets.withColumn("root", F.col("sig"))
-    else:
-        rows = sets.select("doc_id", "n_shingles", "sig").join(comp.select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("root", F.coalesce("component", "sig"))
-    least = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = rows.join(least, "root", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    # one row for each signature, then for each component; joined to all rows, of which one group may hold a third
+    same = sets.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    if comp is not None:
+        members = scratch.save(same.join(comp.withColumnRenamed("id", "sig"), "sig", "left"), "signatures")
+        roots = members.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("root_least"), F.count(F.lit(1)).alias("n"))
+        found = join_groups(members, scratch.save(roots, "roots"), "component")
+        same = found.select("sig", "n", F.coalesce("root_least", "least").alias("least"))
+    out = join_groups(sets.select("doc_id", "n_shingles", "sig"), scratch.save(same, "classes"), "sig")
+    return out.select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set and the smallest doc_id it is linked with."""
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
