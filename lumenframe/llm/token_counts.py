@@ -86,21 +86,33 @@ def vocabulary(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
     return scratch.save(freq.mapInArrow(encode, "pretoken string, freq long, n long"), "vocabulary")
 
 
+def frequent(vocab: DataFrame, head: int) -> dict[str, int]:
+    """Pieces of the most frequent pre-tokens: those above a frequency that `head` of them at most reach. The frequency is
+    found by a histogram of few bins, so no more than these rows leave the tasks."""
+    short = vocab.where(F.length("pretoken") <= HEAD_CHARS)
+    step = F.floor(F.log2("freq") * 8).cast("int")
+    least, n = None, 0
+    for r in sorted(short.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        if (n := n + r.n) > head:
+            break
+        least = r.step
+    return {} if least is None else {r[0]: r[1] for r in short.where(step >= least).select("pretoken", "n").toLocalIterator()}
+
+
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs(doc_id, text).
 
     Null and empty texts have 0 bytes and tokens. Rows that repeat a doc_id are counted one by one. Special strings
     inside a text are one token each, the library's default. No rows give no rows.
 
-    The `head` most frequent pre-tokens (bounded in number and length) are summed inside the map task, so the shuffled
+    The most frequent pre-tokens, `head` of them at most and bounded in length, are summed inside the map task, so the shuffled
     join, by pre-token, only meets the others; each of those is rare, so no key is hot.
     """
     path = path or vocabulary_path()
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-counts")
     vocab = vocabulary(docs, path, scratch)
-    top = vocab.where(F.length("pretoken") <= HEAD_CHARS).orderBy(F.desc("freq"), "pretoken").limit(head).select("pretoken", "n")
-    known = spark.sparkContext.broadcast({r[0]: r[1] for r in top.collect()})
+    known = spark.sparkContext.broadcast(frequent(vocab, head))
 
     def per_document(batches):
         from pyspark import TaskContext
@@ -135,4 +147,5 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, he
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its bytes and tokens."""
     return count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
