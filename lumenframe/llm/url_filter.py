@@ -63,18 +63,16 @@ def model(urls: DataFrame, scratch: Scratch) -> DataFrame:
     """(gram, weight): log-likelihood difference in UNITs for every gram of urls(f, good, bad); good and bad count the
     training URLs that read f. The table is bounded by the alphabet and the order, not by the URLs."""
     n = scratch.save(grams(urls, "good", "bad").groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "grams")
-    p = {c: F.lit(1.0 / ALPHABET) for c in ("good", "bad")}
-    for k in range(1, ORDER + 2):  # k characters: the context's k - 1 and the one it precedes
-        suffix = F.expr(f"right(gram, {k})")
-        own = n.groupBy(suffix.alias(f"s{k}")).agg(F.sum("good").alias(f"good{k}"), F.sum("bad").alias(f"bad{k}"))
-        both = own.withColumn("c", F.expr(f"left(s{k}, {k - 1})"))
-        ctx = both.groupBy("c").agg(F.sum(f"good{k}").alias(f"goodc{k}"), F.sum(f"bad{k}").alias(f"badc{k}"))
-        counts = both.join(ctx, "c").drop("c")
-        n = n.withColumn(f"s{k}", suffix).join(counts, f"s{k}").drop(f"s{k}")
-        p = {c: (F.col(f"{c}{k}") + ALPHA * p[c]) / (F.col(f"{c}c{k}") + ALPHA) for c in p}
-        n = n.select("gram", "good", "bad", *[x.alias(f"p{c}{k}") for c, x in p.items()])
-        p = {c: F.col(f"p{c}{k}") for c in p}
-    return scratch.save(n.select("gram", F.round((F.log(p["good"]) - F.log(p["bad"])) * UNIT).cast("bigint").alias("weight")), "model")
+    # k characters: the context's k - 1 and the one it precedes
+    of = n.select("gram", "good", "bad", F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1))).alias("k")).withColumn("s", F.expr("right(gram, k)"))
+    own = scratch.save(of.groupBy("k", "s").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "suffixes")
+    own = own.withColumn("c", F.expr("left(s, k - 1)"))
+    ctx = own.groupBy("k", "c").agg(F.sum("good").alias("goodc"), F.sum("bad").alias("badc"))
+    counts = scratch.save(own.join(ctx, ["k", "c"]).select("k", "s", "good", "goodc", "bad", "badc"), "counts")
+    each = of.select("gram", "k", "s").join(counts, ["k", "s"]).groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("k", "good", "goodc", "bad", "badc"))).alias("of"))
+    step = lambda c: lambda p, x: (x[c] + ALPHA * p) / (x[f"{c}c"] + ALPHA)
+    p = {c: F.aggregate("of", F.lit(1.0 / ALPHABET), step(c)) for c in ("good", "bad")}
+    return scratch.save(each.select("gram", F.round((F.log(p["good"]) - F.log(p["bad"])) * UNIT).cast("bigint").alias("weight")), "model")
 
 
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -116,9 +114,12 @@ def threshold(scored: DataFrame) -> float:
     every = Window.partitionBy()
     below = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select("at", (F.sum("g").over(every) - F.coalesce(F.sum("g").over(below), F.lit(0))).alias("g"), F.coalesce(F.sum("b").over(below), F.lit(0)).alias("b"), F.sum("g").over(every).alias("gs"), F.sum("b").over(every).alias("bs"))
+    # half way from the hundredth before, so that the gap between the two kinds is shared
+    bins = bins.withColumn("at", (F.col("at") + F.coalesce(F.lag("at").over(Window.orderBy("at")) + 1, F.col("at"))) / 2)
     best = bins.where("gs > 0 and bs > 0").orderBy((F.col("g") * F.col("bs") + F.col("b") * F.col("gs")).desc(), F.abs("at"), "at").select("at").first()
     return best[0] / 100 if best else 0.0
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its host, path, rule and verdict."""
     return judged(table(spark, sf_dir, "pages", "page_id", "url"))
