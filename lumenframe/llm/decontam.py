@@ -99,7 +99,7 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = 10, slop: int =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontamination")
-    key = F.xxhash64(F.coalesce("text", F.lit("")), F.length("text"))
+    key = F.struct(F.xxhash64(F.coalesce("text", F.lit("")), F.length("text")).alias("x"), F.hash("text").alias("m"))  # 96 bits
     keyed = docs.select("doc_id", "text", key.alias("doc"))
     words = keyed.select("doc", split_words(F.col("text")).alias("words"))
     found = scratch.save(phrases(bench, size), "phrases")
@@ -116,6 +116,7 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = 10, slop: int =
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words, those in passages of the benchmark, and a digest of the items they are of."""
     out = contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 

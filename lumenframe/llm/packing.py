@@ -146,13 +146,14 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096) -> D
         df["sequence_id"], df["offset"] = zip(*put, strict=True)
         return df[columns]
 
-    over = F.broadcast(classes.agg(F.coalesce(F.sum("bins"), F.lit(0)).alias("full_bins")).withColumn("one", F.lit(1)))
-    left = ranked.where(F.col("bin") >= F.col("bins")).withColumn("one", F.lit(1)).join(over, "one").select("one", "full_bins", *columns[:5])
+    over = classes.agg(F.coalesce(F.sum("bins"), F.lit(0)).alias("full_bins")).scalar()
+    left = ranked.where(F.col("bin") >= F.col("bins")).select(F.lit(1).alias("one"), over.alias("full_bins"), *columns[:5])
     last = left.groupBy("one").applyInPandas(rest, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return full.select(*[F.col(c).cast("bigint").alias(c) for c in columns]).unionByName(last)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, with its place in a sequence."""
     from .token_counts import vocabulary_path
 
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_path("word_bpe_49k.json"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 
 RACK, REGION = 4, 8  # shards in a full rack and in a full region
 BITS = 48
@@ -64,7 +64,8 @@ def with_shard(df: DataFrame, key: str, weights: Sequence[float], out: str = "sh
 
 
 def with_slot(df: DataFrame, shard: str, order: Sequence[str], key: str, slice_rows: int = 4096) -> DataFrame:
-    """df with `slot`: gapless from 0 within each shard, ordered by a hash of the key, then the `order` columns.
+    """df with `slot`: gapless from 0 within each shard, in the order of a hash of the key and the `order` columns, then of
+    these columns. Rows that are alike in all of them may change places.
 
     Rows are ranked within slices of a shard's hash range (about slice_rows rows each) and slices start where counts
     of the earlier ones end, so no task holds a shard.
@@ -72,7 +73,8 @@ def with_slot(df: DataFrame, shard: str, order: Sequence[str], key: str, slice_r
     n = df.select(shard).count()
     shards = 24 if n == 0 else max(1, df.select(shard).distinct().count())
     parts = max(1, -(-n // (shards * slice_rows)))
-    h = hash48("slot", F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    # equal keys are told apart by the other columns, so a repeated one does not fill a slice
+    h = hash48("slot", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in dict.fromkeys([key, *order])])
     df = df.withColumn("_h", h).withColumn("_slice", F.floor(F.col("_h") * F.lit(parts) / F.lit(1 << BITS)))
     counts = df.groupBy(shard, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(shard).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,9 +94,11 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     df = docs.select("doc_id", (F.octet_length(t) + 8).cast("bigint").alias("size"), F.crc32(t).alias("text_crc32"))
     df = with_shard(df, "doc_id", [1.0] * shards)
     df = with_shard(df, "doc_id", [1.0] * (shards + 1), "grown_shard")
+    df = Scratch(docs.sparkSession, "sharding").save(df, "drawn")  # counted and ranked below
     df = with_slot(df, "shard", ["doc_id", "size", "text_crc32"], "doc_id")
     return df.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard, its slot there and its shard among one more."""
     return shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -108,6 +108,7 @@ def cut_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words, those removed, and a digest of the words that stay."""
     out = cut_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
