@@ -57,8 +57,24 @@ def reduce_(v: Column, op: str, start: Column) -> Column:
 
 
 def scatter(base: Column, updates: Column, op: str) -> Column:
-    """base with updates (array of structs i, v) merged in at their positions."""
-    return F.transform(base, lambda x, i: F.aggregate(F.filter(updates, lambda u: u["i"] == i), x, lambda a, u: OPS[op](a, u["v"])))
+    """base with updates (array of structs i, v) merged in at their positions; those outside base are left out.
+
+    Updates are sorted by position first, so a position with none costs one look-up and each update is read once."""
+    order = F.array_sort(updates)
+    at = F.transform(order, lambda u: u["i"])
+    own = lambda i: F.slice(order, F.array_position(at, i).cast("int"), F.size(F.filter(at, lambda k: k == i)))
+    merged = lambda x, i: F.aggregate(own(i), x, lambda a, u: OPS[op](a, u["v"]))
+    return F.transform(base, lambda x, i: F.when(F.array_contains(at, i), merged(x, i)).otherwise(x))
+
+
+def get_column(rows: Column, i: int) -> Column:
+    """Field i of each struct of an array: a column of a matrix of rows."""
+    return F.transform(rows, lambda r: get_field(r, i))
+
+
+def get_field(value: Column, i: int) -> Column:
+    """Field _i of a struct."""
+    return value.getField(f"_{i}")
 
 
 def sort(v: Column, key=None, descending: bool = False) -> Column:
@@ -69,6 +85,11 @@ def sort(v: Column, key=None, descending: bool = False) -> Column:
     return F.transform(pairs, lambda p: p["x"])
 
 
+def sort_with(v: Column, comparator) -> Column:
+    """By a comparator of two elements: below 0, 0 or above 0. Without one of your own: scalar.compare."""
+    return F.array_sort(v, comparator)
+
+
 def dot(v: Column, weights: list[float]) -> Column:
     """With a fixed vector: an unrolled sum, so it stays in generated code."""
     return reduce(lambda a, b: a + b, [v[i].cast("double") * F.lit(float(w)) for i, w in enumerate(weights)])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,13 +16,18 @@ UNARY = {
 
 
 def erf(c: Column) -> Column:
-    """The error function; Spark has none."""
-
-    @F.pandas_udf("double")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(math.erf, na_action="ignore")
-
-    return run(c)
+    """The error function, which Spark lacks, to within 2e-16 of 1: its power series below 3, the continued fraction of
+    its complement above. Both are plain expressions, so they stay in the JVM."""
+    x = F.abs(c.cast("double"))
+    near, far = F.least(x, F.lit(3.0)), F.greatest(x, F.lit(3.0))
+    # sum of 2**n x**(2n+1) / (1 * 3 * ... * (2n + 1)), from its last term
+    terms = F.sequence(F.lit(60), F.lit(1), F.lit(-1))
+    series = F.aggregate(terms, F.lit(1.0), lambda s, n: 1.0 + s * (2.0 * near * near) / (2.0 * n + 1.0))
+    low = F.lit(2 / math.sqrt(math.pi)) * near * F.exp(-near * near) * series
+    fraction = F.aggregate(terms, far, lambda s, n: far + (n / 2.0) / s)
+    high = 1.0 - F.exp(-far * far) / (fraction * math.sqrt(math.pi))
+    size = F.when(x < 3.0, low).otherwise(high)
+    return F.when(F.isnan(x), x).when(c.cast("double") < 0, -size).otherwise(size)
 
 
 UNARY["erf"] = erf
@@ -52,6 +56,11 @@ def select(condition: Column, yes: Column, no: Column) -> Column:
     return F.when(condition, yes).otherwise(no)
 
 
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 in the natural order of numbers, strings, structs and arrays."""
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+
+
 def integer(text: str) -> Column:
     """Literals like 0xff, 0b101 and 42."""
     return F.lit(int(text, 0))

@@ -84,10 +84,10 @@ def wrap_cast(c: Column, name: str, source: str) -> Column:
 
 
 def int_div(a: Column, b: Column) -> Column:
-    """Quotient cut toward zero; a zero divisor raises."""
-    q = F.abs(a.cast("decimal(20,0)")) - F.abs(a.cast("decimal(20,0)")) % F.abs(b.cast("decimal(20,0)"))
-    q = (q / F.abs(b.cast("decimal(20,0)"))).cast("decimal(20,0)")
-    return F.when((a < 0) != (b < 0), -q).otherwise(q).cast("bigint")
+    """Quotient of integers of up to 64 bits, cut toward zero; a zero divisor raises. The least integer by -1 wraps."""
+    least = F.lit(-(1 << 63)).cast("bigint")
+    a = a.cast("bigint")
+    return F.when((a == least) & (b == -1), least).otherwise(F.call_function("div", a, b.cast("bigint")))
 
 
 def float_div(a: Column, b: Column) -> Column:

@@ -9,17 +9,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import semantics as S
 from ..functions.semantics import TYPES, identity
 from ..sources.read import POS
+from . import relational as R
 
 REDUCE = {"+": F.sum, "*": F.product, "min": F.min, "max": F.max}
 COMBINE = {"+": lambda a, b: a + b, "*": lambda a, b: a * b, "min": F.least, "max": F.greatest}
 
 
+def reduced(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Reductions of columns by keys; products of integers are exact modulo 2**64."""
+    exact = {n: c for n, (op, c) in aggs.items() if op == "*" and R.integral(df, c)}
+    rest = [REDUCE[op](c).alias(n) for n, (op, c) in aggs.items() if n not in exact]
+    if not exact:
+        return df.groupBy(*keys).agg(*rest)
+    out = R.exact_products(df, keys, exact)
+    if rest:
+        others = df.groupBy(*keys).agg(*rest)
+        if keys:
+            same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]
+            out = out.alias("x").join(others.alias("y"), same).select("x.*", *[F.col(f"y.{n}") for n in aggs if n not in exact])
+        else:  # one row each
+            for n in aggs:
+                if n not in exact:
+                    out = out.withColumn(n, others.select(n).scalar())
+    return out.select(*keys, *aggs)
+
+
 class _Builder:
     def __init__(self):
         self.state: DataFrame | None = None
 
+    def store(self, path: str) -> _Builder:
+        """Write the state, from which a builder of the same kind goes on in another run by resume(path)."""
+        self.state.write.mode("overwrite").parquet(path)
+        return self
+
+    def resume(self, spark, path: str) -> _Builder:
+        stored = spark.read.parquet(path)
+        self.state = stored if self.state is None else self._partial_again(self.state.unionByName(stored))
+        return self
+
     def add(self, df: DataFrame) -> _Builder:
         part = self._partial(df)
         self.state = part if self.state is None else self._partial_again(self.state.unionByName(part))
@@ -50,24 +81,33 @@ class Appender(_Builder):
 
 
 class Merger(_Builder):
-    """Reductions of a batch: aggs maps an output name to (op, column, type); empty input yields the identity."""
+    """Reductions of a batch: aggs maps an output name to (op, column, type); empty input yields the identity. Integers
+    wrap in their type."""
 
     def __init__(self, aggs: dict[str, tuple[str, str, str]], start: dict[str, object] | None = None):
         super().__init__()
         self.aggs, self.start = aggs, start or {}
 
     def _partial(self, df: DataFrame) -> DataFrame:
-        return df.agg(*[REDUCE[op](c).alias(n) for n, (op, c, _) in self.aggs.items()])
+        # sums of integers are kept wide until the result wraps
+        wide = {n: (op, f"__{n}") for n, (op, _, _) in self.aggs.items()}
+        cols = [(F.col(c).cast("decimal(38,0)") if op == "+" and not S.is_float(k) else F.col(c)).alias(f"__{n}") for n, (op, c, k) in self.aggs.items()]
+        return reduced(df.select(*cols), [], wide)
 
     def _partial_again(self, df: DataFrame) -> DataFrame:
-        return df.agg(*[REDUCE[op](n).alias(n) for n, (op, _, _) in self.aggs.items()])
+        return reduced(df, [], {n: (op, n) for n, (op, _, _) in self.aggs.items()})
 
     def result(self) -> DataFrame:
         out = []
         for n, (op, _, kind) in self.aggs.items():
             c = F.coalesce(F.col(n), F.lit(identity(op, kind)))
-            if n in self.start:
-                c = COMBINE[op](c, F.lit(self.start[n]))
+            if S.is_float(kind):
+                c = COMBINE[op](c, F.lit(self.start[n])) if n in self.start else c
+            elif op == "*":
+                c = S.wrap_mul(c, F.lit(self.start.get(n, 1)), kind)
+            else:
+                c = c.cast("decimal(38,0)")
+                c = S.wrap(COMBINE[op](c, F.lit(self.start[n]).cast("decimal(38,0)")) if n in self.start else c, kind)
             out.append(c.cast(TYPES[kind]).alias(n))
         return self.state.select(*out)
 
@@ -80,10 +120,10 @@ class DictMerger(_Builder):
         self.keys, self.aggs = keys, aggs
 
     def _partial(self, df: DataFrame) -> DataFrame:
-        return df.groupBy(*self.keys).agg(*[REDUCE[op](c).alias(n) for n, (op, c) in self.aggs.items()])
+        return reduced(df, self.keys, self.aggs)
 
     def _partial_again(self, df: DataFrame) -> DataFrame:
-        return df.groupBy(*self.keys).agg(*[REDUCE[op](n).alias(n) for n, (op, _) in self.aggs.items()])
+        return reduced(df, self.keys, {n: (op, n) for n, (op, _) in self.aggs.items()})
 
     def result(self) -> DataFrame:
         return self.state
@@ -113,22 +153,29 @@ class GroupMerger(_Builder):
 
 
 class VecMerger(_Builder):
-    """Scatter-reduction into a copy of a base vector: base(pos, value) and updates(pos, value)."""
+    """Scatter-reduction into a copy of a base vector: base(pos, value) and updates(pos, value). Updates at positions that
+    the base does not have are left out."""
 
     def __init__(self, base: DataFrame, op: str, pos: str = POS, value: str = "value"):
         super().__init__()
         self.op, self.pos, self.value = op, pos, value
-        self.size = base
-        self.state = base.select(pos, value)
+        self.base = base.select(pos, value)
 
     def _partial(self, df: DataFrame) -> DataFrame:
-        return df.groupBy(self.pos).agg(REDUCE[self.op](self.value).alias(self.value))
+        return reduced(df, [self.pos], {self.value: (self.op, self.value)})
 
     def _partial_again(self, df: DataFrame) -> DataFrame:
         return self._partial(df)
 
     def result(self) -> DataFrame:
-        return self.state
+        if self.state is None:
+            return self.base
+        # one pass over both: a group without a row of the base goes
+        both = self.base.withColumn("__base", F.lit(True)).unionByName(self.state.withColumn("__base", F.lit(None).cast("boolean")))
+        if self.op == "*" and R.integral(self.base, self.value):
+            return self._partial(both.drop("__base")).join(self.base.select(self.pos), self.pos, "left_semi")
+        out = both.groupBy(self.pos).agg(REDUCE[self.op](self.value).cast(self.base.schema[self.value].dataType).alias(self.value), F.max("__base").alias("__base"))
+        return out.where("__base").drop("__base")
 
 
 def iterate_rows(df: DataFrame, step, done, save, most: int = 100) -> DataFrame:

@@ -1,14 +1,18 @@
 """The pandas-like surface: Series and Frame, lazy until evaluate().
 
 A Series is a Column over a DataFrame that has positions. Operations between Series of one DataFrame are Column
-expressions; between different ones they join by position.
+expressions; between different ones they join by position, and lengths that differ fail the run. A Series or Frame may
+have an index: a column INDEX of its DataFrame; without one its positions are the index.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar, strings
 from ..functions import semantics as S
@@ -17,6 +21,9 @@ from ..sources.read import POS
 from . import relational as R
 
 
+INDEX = "__index"
+
+
 def _spark() -> SparkSession:
     return SparkSession.builder.getOrCreate()
 
@@ -38,22 +45,54 @@ def _scalar_type(x) -> str:
 class Series:
     """One column with a type. Missing values don't exist; NaN is a value of floats."""
 
-    def __init__(self, data, dtype: str | None = None, name: str = "value", _df: DataFrame | None = None, _column: Column | None = None):
-        self.name = name
+    def __init__(self, data, dtype: str | None = None, name: str = "value", _df: DataFrame | None = None, _column: Column | None = None, index=None):
+        self.name, self._gaps, self._numbered = name, False, None
         if _df is not None:
-            self.df, self.column, self.dtype = _df, _column, dtype
+            self._df, self.column, self.dtype = _df, _column, dtype
         else:
             self.dtype = dtype or read.dtype_of(data)
-            self.df = read.from_columns(_spark(), {name: data}, {name: self.dtype})
+            columns, kinds = {name: data}, {name: self.dtype}
+            if index is not None:
+                columns[INDEX], kinds[INDEX] = index, read.dtype_of(index)
+            self._df = read.from_columns(_spark(), columns, kinds)
             self.column = F.col(name)
 
-    def _new(self, column: Column, dtype: str, df: DataFrame | None = None) -> Series:
-        return Series(None, dtype, self.name, df if df is not None else self.df, column)
+    @property
+    def df(self) -> DataFrame:
+        """The DataFrame with positions from 0 on; rows that were picked are numbered here, once they need to be."""
+        if not self._gaps:
+            return self._df
+        if self._numbered is None:
+            self._numbered = read.renumbered(self._df)
+        return self._numbered
+
+    def rows(self) -> DataFrame:
+        """The values as a DataFrame without positions, for which picked rows need no numbering."""
+        return self._df.select(self.column.alias(self.name))
+
+    def _kept(self) -> list[str]:
+        """Columns that go with the values: the position and the index."""
+        return [c for c in (POS, INDEX) if c in self._df.columns]
+
+    @property
+    def index(self) -> Series:
+        name = INDEX if INDEX in self.df.columns else POS
+        kind = {T.StringType(): "str", T.LongType(): "int64", T.IntegerType(): "int32", T.DoubleType(): "float64"}[self.df.schema[name].dataType]
+        return Series(None, kind, "index", self.df, F.col(name))
+
+    @property
+    def loc(self) -> Loc:
+        return Loc(self)
+
+    def _new(self, column: Column, dtype: str, df: DataFrame | None = None, gaps: bool = False) -> Series:
+        out = Series(None, dtype, self.name, df if df is not None else self._df, column)
+        out._gaps = self._gaps if out._df is self._df else gaps
+        return out
 
     def _paired(self, other: Series) -> tuple[DataFrame, Column, Column]:
-        if other.df is self.df:
-            return self.df, self.column, other.column
-        left = self.df.select(POS, self.column.alias("__l"))
+        if other._df is self._df:
+            return self._df, self.column, other.column
+        left = self.df.select(*self._kept(), self.column.alias("__l"))
         right = other.df.select(POS, other.column.alias("__r"))
         return R.zip_join(left, right), F.col("__l"), F.col("__r")
 
@@ -62,7 +101,7 @@ class Series:
             df, a, b = self._paired(other)
             kind = other.dtype
         else:
-            df, a, b, kind = self.df, self.column, F.lit(other.item() if isinstance(other, np.generic) else other), _scalar_type(other)
+            df, a, b, kind = self._df, self.column, F.lit(other.item() if isinstance(other, np.generic) else other), _scalar_type(other)
         if "str" in (self.dtype, kind):
             if not compare or self.dtype != kind:
                 raise TypeError("strings can only be compared with strings")
@@ -149,7 +188,7 @@ class Series:
     @staticmethod
     def _of_scalar(like: Series, o) -> Series:
         kind = like._common(_scalar_type(o), isinstance(o, np.generic))
-        return Series(None, kind, like.name, like.df, F.lit(o).cast(S.TYPES[kind]))
+        return like._new(F.lit(o).cast(S.TYPES[kind]), kind, like._df, like._gaps)
 
     def __and__(self, o: Series) -> Series:
         df, a, b = self._paired(o)
@@ -171,8 +210,8 @@ class Series:
     def keep_where(self, mask: Series) -> Series:
         """Only the rows where mask holds, at positions from 0."""
         df, a, m = self._paired(mask)
-        kept = df.where(m).select(POS, a.alias(self.name))
-        return self._new(F.col(self.name), self.dtype, read.with_position(kept.withColumnRenamed(POS, "__at"), "__at").drop("__at"))
+        kept = df.where(m).select(*[c for c in (POS, INDEX) if c in df.columns], a.alias(self.name))
+        return self._new(F.col(self.name), self.dtype, kept, gaps=True)
 
     mask = keep_where
 
@@ -187,7 +226,7 @@ class Series:
             if k.stop is None or k.stop < 0 or (k.step or 1) != 1:
                 raise ValueError("slices need a stop of 0 or more and no step")
             start = k.start or 0
-            kept = R.slice_rows(self.df.select(POS, self.column.alias(self.name)), start, k.stop).withColumn(POS, F.col(POS) - start)
+            kept = R.slice_rows(self.df.select(*self._kept(), self.column.alias(self.name)), start, k.stop).withColumn(POS, F.col(POS) - start)
             return self._new(F.col(self.name), self.dtype, kept)
         row = self.df.where(F.col(POS) == k).select(self.column).first()
         if row is None:
@@ -195,24 +234,24 @@ class Series:
         return row[0]
 
     def isin(self, other: Series) -> Series:
-        left = self.df.select(POS, self.column.alias("__v"))
+        left = self.df.select(*self._kept(), self.column.alias("__v"))
         right = other.df.select(other.column.alias("__r"))
         return self._new(F.col("__in2"), "bool", R.isin(left, "__v", right, "__r", "__in2"))
 
     def unique(self) -> Series:
-        d = self.df.select(self.column.alias(self.name)).distinct()
+        d = self.rows().distinct()
         return self._new(F.col(self.name), self.dtype, read.with_position(d, self.name))
 
     def sort_values(self, ascending: bool = False) -> Series:
-        d = self.df.select(self.column.alias(self.name), F.col(POS).alias("__at")).withColumn("__k", F.col(self.name))
-        order = F.col("__k").asc() if ascending else F.col("__k").desc()
-        return self._new(F.col(self.name), self.dtype, read.with_position(d, order, "__at"))
+        d = self.df.select(self.column.alias(self.name), F.col(POS).alias("__at"), *[c for c in self._kept() if c != POS])
+        return self._new(F.col(self.name), self.dtype, read.with_position(d, self.name, descending=not ascending, ties=["__at"]).drop("__at"))
 
     def agg(self, how):
-        """One aggregate as a value, or a list of them as an array of one type, in one pass."""
+        """One aggregate as a value, or a list of them as an array of one type, in one pass. Integer sums and products
+        wrap; no values give the identities."""
         names = [how] if isinstance(how, str) else list(how)
-        d = self.df.select(self.column.alias("__v"))
-        rows = R.summary(d, "__v", names, S.is_float(self.dtype)).orderBy("i").collect()
+        d = self._df.select(self.column.alias("__v"))
+        rows = R.summary(d, "__v", names, S.is_float(self.dtype), self.dtype).orderBy("i").collect()
         if isinstance(how, str):
             return rows[0]["value"]
         return np.array([r["value"] for r in rows])
@@ -229,13 +268,31 @@ class Series:
         return Strings(self)
 
     def evaluate(self):
-        """A pandas Series."""
-        return self.df.select(POS, self.column.alias(self.name)).orderBy(POS).toPandas()[self.name]
+        """A pandas Series, with its index if it has one."""
+        out = self.df.select(*self._kept(), self.column.alias(self.name)).orderBy(POS).toPandas()
+        return out.set_index(INDEX).rename_axis(None)[self.name] if INDEX in out else out[self.name]
 
     def explain(self) -> None:
         self.df.select(POS, self.column.alias(self.name)).explain("formatted")
 
 
+class Loc:
+    """loc[keys]: the rows whose index is among keys, a list or a Series, in their order."""
+
+    def __init__(self, s: Series):
+        self.s = s
+
+    def __getitem__(self, keys) -> Series:
+        s = self.s
+        name = INDEX if INDEX in s.df.columns else POS
+        df = s.df.select(*s._kept(), s.column.alias(s.name)).withColumn("__key", F.col(name))
+        if isinstance(keys, Series):
+            kept = R.semi(df, keys.df.select(keys.column.alias("__key")), "__key")
+        else:
+            kept = df.where(F.col("__key").isin(list(keys)))
+        return s._new(F.col(s.name), s.dtype, kept.drop("__key"), gaps=True)
+
+
 class Strings:
     """String methods of a Series."""
 
@@ -256,14 +313,39 @@ class Frame:
     """Equally long columns. Binary operators align frames on column names: the sorted union, missing sides as NaN."""
 
     def __init__(self, data=None, columns=None, dtypes: dict[str, str] | None = None, _df: DataFrame | None = None):
+        self._gaps, self._numbered = False, None
         if _df is not None:
-            self.df, self.dtypes = _df, dtypes
+            self._df, self.dtypes = _df, dtypes
         else:
             if columns is not None and not isinstance(data, dict):
                 data = dict(zip(columns, data, strict=True))
             data = {c: data[c] for c in data}
             self.dtypes = {c: (dtypes or {}).get(c) or read.dtype_of(v) for c, v in data.items()}
-            self.df = read.from_columns(_spark(), data, self.dtypes)
+            self._df = read.from_columns(_spark(), data, self.dtypes)
+
+    @property
+    def df(self) -> DataFrame:
+        """The DataFrame with positions from 0 on; rows that were picked are numbered here, once they need to be."""
+        if not self._gaps:
+            return self._df
+        if self._numbered is None:
+            self._numbered = read.renumbered(self._df)
+        return self._numbered
+
+    def rows(self, *columns: str) -> DataFrame:
+        """The frame, or some columns, as a DataFrame without positions, for which picked rows need no numbering."""
+        return self._df.select(*(columns or self.columns))
+
+    @staticmethod
+    def of(df: DataFrame, position: str | None = None) -> Frame:
+        """A frame over the numbers and strings of a DataFrame, at the positions that one of its columns holds, or else in
+        the order in which its rows are read."""
+        kinds = {t: n for n, t in S.TYPES.items() if not n.startswith("u")}
+        dtypes = {f.name: kinds[f.dataType] for f in df.schema if f.dataType in kinds and f.name not in (POS, INDEX)}
+        at = F.monotonically_increasing_id() if position is None else F.col(position).cast("bigint")
+        out = Frame(dtypes=dtypes, _df=df.select(at.alias(POS), *dtypes, *[c for c in df.columns if c == INDEX]))
+        out._gaps = position is None
+        return out
 
     @property
     def columns(self) -> list[str]:
@@ -271,23 +353,51 @@ class Frame:
 
     def __getitem__(self, k):
         if isinstance(k, str):
-            return Series(None, self.dtypes[k], k, self.df, F.col(k))
+            out = Series(None, self.dtypes[k], k, self._df, F.col(k))
+            out._gaps = self._gaps
+            return out
         if isinstance(k, Series):
-            return Frame(dtypes=self.dtypes, _df=self.df.where(k.column))
-        return Frame(dtypes={c: self.dtypes[c] for c in k}, _df=self.df.select(POS, *k))
+            if k._df is self._df:
+                return self._like(self._df.where(k.column), True)
+            both = R.zip_join(self.df, k.df.select(POS, k.column.alias("__mask")))
+            return self._like(both.where("__mask").drop("__mask"), True)
+        return Frame(dtypes={c: self.dtypes[c] for c in k}, _df=self._df.select(POS, *k))._with_gaps(self._gaps)
+
+    def _with_gaps(self, gaps: bool) -> Frame:
+        self._gaps = gaps
+        return self
+
+    def _like(self, df: DataFrame, gaps: bool) -> Frame:
+        return Frame(dtypes=self.dtypes, _df=df)._with_gaps(gaps)
 
     def __setitem__(self, name: str, s: Series) -> None:
-        if s.df is not self.df:
+        if s._df is not self._df:
             raise ValueError("the series is of another frame; join them first")
-        self.df, self.dtypes = self.df.withColumn(name, s.column), self.dtypes | {name: s.dtype}
+        self._df, self.dtypes, self._numbered = self._df.withColumn(name, s.column), self.dtypes | {name: s.dtype}, None
+
+    def values(self, *columns: str, where: Series | None = None, name: str = "row") -> DataFrame:
+        """Rows with one more column: their values as an array of one type. Only those where a mask holds."""
+        f = self if where is None else self[where]
+        names = list(columns) or self.columns
+        kind = reduce(S.promote, [self.dtypes[c] for c in names])
+        return f._df.select(*f.columns, F.array(*[F.col(c).cast(S.TYPES[kind]) for c in names]).alias(name))
+
+    def assign_where(self, name: str, mask: Series, value) -> Frame:
+        """The frame with a column replaced where a mask holds: df[name][mask] = value, as a new frame."""
+        out = self._like(self._df, self._gaps)
+        out[name] = out[name].replace_where(mask, value)
+        return out
 
     def _aligned(self, other, op: str, fill) -> Frame:
         if not isinstance(other, Frame):
             cols = {c: getattr(self[c], op)(other) for c in self.columns}
-            return Frame(dtypes={c: s.dtype for c, s in cols.items()}, _df=self.df.select(POS, *[s.column.alias(c) for c, s in cols.items()]))
+            out = Frame(dtypes={c: s.dtype for c, s in cols.items()}, _df=self._df.select(POS, *[s.column.alias(c) for c, s in cols.items()]))
+            return out._with_gaps(self._gaps)
         names = self.columns if self.columns == other.columns else sorted(set(self.columns) | set(other.columns))
-        right = other.df.select(POS, *[F.col(c).alias(f"__r_{c}") for c in other.columns])
-        df = self.df.join(right, POS)
+        if other._df is self._df:  # columns of one frame need no join
+            df = self._df.select("*", *[F.col(c).alias(f"__r_{c}") for c in other.columns])
+        else:
+            df = R.zip_join(self.df, other.df.select(POS, *[F.col(c).alias(f"__r_{c}") for c in other.columns]))
         out, kinds = [], {}
         for c in names:
             if c in self.dtypes and c in other.dtypes:
@@ -298,7 +408,7 @@ class Frame:
             else:
                 out.append(F.lit(fill).alias(c))
                 kinds[c] = _scalar_type(fill)
-        return Frame(dtypes=kinds, _df=df.select(POS, *out))
+        return Frame(dtypes=kinds, _df=df.select(POS, *out))._with_gaps(self._gaps and other._df is self._df)
 
     def __getattr__(self, name: str):
         if name in ("add", "sub", "mul", "mod", "div", "truediv", "divide"):
@@ -321,14 +431,38 @@ class Frame:
     def __truediv__(self, o):
         return self.div(o)
 
+    def __mod__(self, o):
+        return self.mod(o)
+
+    def __eq__(self, o):
+        return self.eq(o)
+
+    def __ne__(self, o):
+        return self.ne(o)
+
+    def __lt__(self, o):
+        return self.lt(o)
+
+    def __le__(self, o):
+        return self.le(o)
+
+    def __gt__(self, o):
+        return self.gt(o)
+
+    def __ge__(self, o):
+        return self.ge(o)
+
+    __hash__ = None
+    __iadd__, __isub__, __imul__, __itruediv__, __imod__ = __add__, __sub__, __mul__, __truediv__, __mod__
+
     def groupby(self, keys) -> R.GroupBy:
-        return R.GroupBy(self.df.drop(POS), keys)
+        return R.GroupBy(self.rows(), keys)
 
     def merge(self, other: Frame, strict: bool = False) -> DataFrame:
-        return R.merge(self.df.drop(POS), other.df.drop(POS), strict)
+        return R.merge(self.rows(), other.rows(), strict)
 
     def pivot_table(self, values: str, index: str, columns: str, names, aggfunc: str = "sum") -> R.Pivot:
-        return R.pivot_table(self.df, values, index, columns, names, aggfunc)
+        return R.pivot_table(self.rows(), values, index, columns, names, aggfunc)
 
     def evaluate(self):
         return self.df.orderBy(POS).select(*self.columns).toPandas()
@@ -340,9 +474,12 @@ class Frame:
 
 
 def evaluate_together(*series: Series) -> list:
-    """Several results over one DataFrame in one run."""
-    df = series[0].df
-    if any(s.df is not df for s in series):
-        raise ValueError("series of different frames")
-    out = df.select(POS, *[s.column.alias(f"c{i}") for i, s in enumerate(series)]).orderBy(POS).toPandas()
-    return [out[f"c{i}"].rename(s.name) for i, s in enumerate(series)]
+    """Several results: those over one DataFrame in one run of it."""
+    out: list = [None] * len(series)
+    frames = {id(s._df): s.df for s in series}
+    for key, df in frames.items():
+        mine = [i for i, s in enumerate(series) if id(s._df) == key]
+        got = df.select(POS, *[series[i].column.alias(f"c{i}") for i in mine]).orderBy(POS).toPandas()
+        for i in mine:
+            out[i] = got[f"c{i}"].rename(series[i].name)
+    return out

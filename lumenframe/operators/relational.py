@@ -7,10 +7,47 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import semantics as S
 from ..functions.semantics import NAN, require
 
-AGGS = {"sum": F.sum, "prod": F.product, "min": F.min, "max": F.max, "mean": F.avg, "var": F.var_samp, "std": F.stddev_samp, "count": lambda c: F.count(F.lit(1))}
+#: One row has no sample variance or deviation: NaN. `prod` is for floats; integers go through exact_products.
+AGGS = {"sum": F.sum, "prod": F.product, "min": F.min, "max": F.max, "mean": F.avg, "var": lambda c: S.sample_moment(F.var_samp(c)), "std": lambda c: S.sample_moment(F.stddev_samp(c)), "count": lambda c: F.count(F.lit(1))}
+#: Rows of a side that a nested loop may send to every task.
+NESTED = 1_000_000
+
+
+def integral(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.IntegralType)
+
+
+def exact_products(df: DataFrame, keys: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """keys and, by output name, the products of integer columns modulo 2**64, as 64-bit integers; nulls are left out.
+
+    Spark's own product is a double. Each batch of rows gives one partial product per key, by NumPy; the partials of a
+    key, no more than batches, are folded exactly. Without keys there is one row, of ones if there are no rows."""
+    names = list(columns)
+    rows = df.select(*keys, *[F.col(c).cast("bigint").alias(n) for n, c in columns.items()])
+    fields = [rows.schema[k] for k in keys] + [T.StructField(n, T.LongType()) for n in names]
+
+    def partial(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            products = lambda t: [[int(x.to_numpy(zero_copy_only=False).prod(dtype="int64"))] for x in (t.column(n).combine_chunks().drop_null() for n in names)]
+            if not keys:
+                yield from pa.table(dict(zip(names, products(t), strict=True)), schema=pa.schema([(n, pa.int64()) for n in names])).to_batches()
+                continue
+            at = t.select(list(keys)).append_column("__at", pa.array(range(t.num_rows)))
+            groups = at.group_by(list(keys)).aggregate([("__at", "list")])
+            found = [products(t.take(i.values)) for i in groups.column("__at_list").combine_chunks()] if t.num_rows else []
+            out = [groups.column(k) for k in keys] + [pa.array([f[j][0] for f in found], pa.int64()) for j in range(len(names))]
+            yield from pa.table(out, names=[*keys, *names]).to_batches()
+
+    fold = lambda n: F.aggregate(F.collect_list(n), F.lit(1).cast("bigint"), lambda a, x: S.wrap_mul(a, x, "int64")).alias(n)
+    return rows.mapInArrow(partial, T.StructType(fields)).groupBy(*keys).agg(*[fold(n) for n in names])
 
 
 def _list(x) -> list[str]:
@@ -58,20 +95,25 @@ def optlookup(left: DataFrame, right: DataFrame, on: str, value: str, zero, out:
 
 
 def theta(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
-    """Pairs that meet a condition which is no equality; Spark runs it as a nested loop, so keep one side small."""
-    return left.join(right, condition)
+    """Pairs that meet a condition which is no equality. Spark runs it as a nested loop that sends one side to every
+    task, so one side must have NESTED rows at most; else this raises."""
+    if right.limit(NESTED + 1).count() <= NESTED:
+        return left.join(F.broadcast(right), condition)
+    if left.limit(NESTED + 1).count() <= NESTED:
+        return F.broadcast(left).join(right, condition)
+    raise ValueError(f"no side has {NESTED} rows or less")
 
 
 def zip_join(left: DataFrame, right: DataFrame, pos: str = "__pos") -> DataFrame:
-    """Columns of two frames side by side, by position."""
-    return left.join(right, pos)
+    """Columns of two frames side by side, by position; a position that only one of them has fails the run."""
+    both = left.withColumn("__left", F.lit(True)).join(right.withColumn("__right", F.lit(True)), pos, "full_outer")
+    here = F.col("__left").isNotNull() & F.col("__right").isNotNull()
+    return both.where(require(here, F.lit(True), "zip of columns of different lengths")).drop("__left", "__right")
 
 
 def fill_by_total(df: DataFrame, column: str, out: str, agg: str = "sum") -> DataFrame:
-    """df with each value's share of a total over all rows; the total is one row, so it is broadcast."""
-    total = df.agg(AGGS[agg](column).alias("__total")).withColumn("__one", F.lit(1))
-    joined = df.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one")
-    return joined.withColumn(out, F.col(column) / F.col("__total")).drop("__total", "__one")
+    """df with each value's share of a total over all rows, which is a scalar subquery."""
+    return df.withColumn(out, F.col(column) / df.agg(AGGS[agg](column).alias("total")).scalar())
 
 
 class GroupBy:
@@ -85,8 +127,16 @@ class GroupBy:
         return GroupBy(self.df, self.keys, values)
 
     def agg(self, how: str) -> DataFrame:
+        if how == "prod" and (whole := [v for v in self.values if integral(self.df, v)]):
+            out = exact_products(self.df, self.keys, {v: v for v in whole})
+            if rest := [v for v in self.values if v not in whole]:
+                out = out.join(GroupBy(self.df, self.keys, rest).agg(how), self.keys)
+            return out.select(*self.keys, *self.values)
         return self.df.groupBy(*self.keys).agg(*[AGGS[how](v).alias(v) for v in self.values])
 
+    def prod(self) -> DataFrame:
+        return self.agg("prod")
+
     def sum(self) -> DataFrame:
         return self.agg("sum")
 
@@ -187,10 +237,27 @@ def strided_rows(df: DataFrame, start: int, end: int, stride: int, pos: str = "_
     return df.where((F.col(pos) >= start) & (F.col(pos) < last) & ((F.col(pos) - start) % stride == 0))
 
 
-def summary(df: DataFrame, column: str, aggs: Sequence[str], floating: bool) -> DataFrame:
+def summary(df: DataFrame, column: str, aggs: Sequence[str], floating: bool, kind: str | None = None) -> DataFrame:
     """agg, value for a list of aggregates, computed in one pass. All are doubles if any is a mean, variance or
-    deviation, or the column floats; else 64-bit integers. One row has no deviation: NaN."""
+    deviation, or the column floats; else 64-bit integers. One row has no deviation: NaN.
+
+    kind: the column's type in the engine's own API. Then integer sums wrap, integer products are exact modulo 2**64, and
+    no rows give the identities: 0, 1, the type's largest value for min and its smallest for max."""
     dbl = floating or any(a in ("mean", "var", "std") for a in aggs)
-    kind = "double" if dbl else "bigint"
-    one = df.agg(*[(F.coalesce(AGGS[a](column), F.lit(NAN)) if a in ("var", "std") else AGGS[a](column)).cast(kind).alias(a) for a in dict.fromkeys(aggs)])
+    to = "double" if dbl else "bigint"
+
+    def value(a: str) -> Column:
+        if a in ("var", "std"):
+            return F.coalesce(AGGS[a](column), F.lit(NAN))
+        if kind is None or a in ("mean", "count"):
+            return AGGS[a](column)
+        op = {"sum": "+", "prod": "*"}.get(a, a)
+        if a == "sum" and not floating:
+            return S.wrap(F.coalesce(F.sum(F.col(column).cast("decimal(38,0)")), F.lit(0)), "int64")
+        return S.or_identity(AGGS[a](column), op, kind if a in ("min", "max") else "float64" if floating else "int64")
+
+    exact = [a for a in dict.fromkeys(aggs) if a == "prod" and not floating]
+    one = df.agg(*[value(a).cast(to).alias(a) for a in dict.fromkeys(aggs) if a not in exact] or [F.lit(0).alias("__none")])
+    if exact:
+        one = one.withColumn("prod", exact_products(df, [], {"prod": column}).scalar().cast(to))
     return one.select(F.posexplode(F.array(*[F.struct(F.lit(a).alias("agg"), F.col(a).alias("value")) for a in aggs])).alias("i", "x")).select("i", "x.agg", "x.value")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +12,11 @@ from pyspark.sql import types as T
 from ..functions import arrays as V
 from ..functions import scalar, strings
 from ..functions import semantics as S
+from ..functions import udf as U
 from ..operators import builders as B
 from ..operators import relational as R
+from ..operators.array import strided
+from ..operators.frame import Frame
 from ..sources import read, write
 from ..sources.read import POS
 
@@ -81,12 +83,15 @@ def _(t):
 
 @query("p1_map", f"SELECT {LINE_SQL}, l_quantity * 2 + 1 AS v FROM lineitem")
 def _(t):
-    return t("lineitem").select(*LINE, (F.col("l_quantity") * 2 + 1).alias("v"))
+    f = Frame.of(t("lineitem", *LINE, "l_quantity"))
+    f["v"] = f["l_quantity"] * 2 + 1
+    return f.rows(*LINE, "v")
 
 
 @query("p2_filter", f"SELECT {LINE_SQL}, l_quantity FROM lineitem WHERE l_quantity > 25 AND l_discount < 0.05")
 def _(t):
-    return t("lineitem", *LINE, "l_quantity", "l_discount").where("l_quantity > 25 AND l_discount < 0.05").drop("l_discount")
+    f = Frame.of(t("lineitem", *LINE, "l_quantity", "l_discount"))
+    return f[(f["l_quantity"] > 25) & (f["l_discount"] < 0.05)].rows(*LINE, "l_quantity")
 
 
 @query("p3_flatten", "SELECT vec_id, unnest(embedding) AS x FROM embeddings")
@@ -101,37 +106,48 @@ def _(t):
 
 @query("p6_replace_where", f"SELECT {LINE_SQL}, CASE WHEN l_quantity > 40 THEN 40.0 ELSE l_quantity END AS q FROM lineitem")
 def _(t):
-    return t("lineitem").select(*LINE, F.when(F.col("l_quantity") > 40, 40.0).otherwise(F.col("l_quantity")).alias("q"))
+    f = Frame.of(t("lineitem", *LINE, "l_quantity"))
+    f["q"] = f["l_quantity"].replace_where(f["l_quantity"] > 40, 40.0)
+    return f.rows(*LINE, "q")
 
 
 @query("p7_keep_where", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000")
 def _(t):
-    return t("orders", "o_orderkey", "o_totalprice").where("o_totalprice > 200000")
+    f = Frame.of(t("orders", "o_orderkey", "o_totalprice"))
+    return f[f["o_totalprice"] > 200000].rows()
 
 
 @query("p8_positional_slice", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
 def _(t):
-    return t("orders", "o_orderkey").orderBy("o_orderkey").offset(100).limit(50)
+    f = Frame.of(read.with_position(t("orders", "o_orderkey"), "o_orderkey"), read.POS)
+    return f["o_orderkey"][100:150].rows()
 
 
 @query("p9_select_and", "SELECT p_partkey, p_brand FROM part WHERE p_size > 10 AND p_retailprice < 1500")
 def _(t):
-    return t("part").where("p_size > 10").where("p_retailprice < 1500").select("p_partkey", "p_brand")
+    f = Frame.of(t("part"), "p_partkey")
+    f = f[f["p_size"] > 10]
+    return f[f["p_retailprice"] < 1500].rows("p_partkey", "p_brand")
 
 
 @query("p10_with_column", "SELECT c_custkey, c_acctbal, c_acctbal * 2 AS twice FROM customer")
 def _(t):
-    return t("customer", "c_custkey", "c_acctbal").withColumn("twice", F.col("c_acctbal") * 2)
+    f = Frame.of(t("customer", "c_custkey", "c_acctbal"), "c_custkey")
+    f["twice"] = f["c_acctbal"] * 2
+    return f.rows()
 
 
 @query("p11_assign_where", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS bal FROM customer")
 def _(t):
-    return t("customer").select("c_custkey", F.when(F.col("c_acctbal") < 0, 0.0).otherwise(F.col("c_acctbal")).alias("bal"))
+    f = Frame.of(t("customer"), "c_custkey")
+    f["bal"] = f["c_acctbal"]
+    return f.assign_where("bal", f["bal"] < 0, 0.0).rows("c_custkey", "bal")
 
 
 @query("p12_values", "SELECT p_partkey, [p_size::DOUBLE, p_retailprice] AS row FROM part WHERE p_size > 40")
 def _(t):
-    return t("part").where("p_size > 40").select("p_partkey", F.array(F.col("p_size").cast("double"), "p_retailprice").alias("row"))
+    f = Frame.of(t("part"), "p_partkey")
+    return f.values("p_size", "p_retailprice", where=f["p_size"] > 40).select("p_partkey", "row")
 
 
 @query("p14_zip_unzip", "SELECT c_custkey, c_acctbal FROM customer")
@@ -141,17 +157,22 @@ def _(t):
 
 @query("p15_group", "SELECT count(*) AS n, round(sum(c_acctbal), 2) AS total, max(c_custkey) AS top FROM customer")
 def _(t):
-    return t("customer").agg(F.count(F.lit(1)).alias("n"), r2(F.sum("c_acctbal")).alias("total"), F.max("c_custkey").alias("top"))
+    total = R.summary(t("customer"), "c_acctbal", ["count", "sum"], True).groupBy().pivot("agg", ["count", "sum"]).agg(F.first("value"))
+    top = B.Merger({"top": ("max", "c_custkey", "int64")}).add(t("customer")).result()
+    return total.select(F.col("count").cast("bigint").alias("n"), r2(F.col("sum")).alias("total")).withColumn("top", top.scalar())
 
 
 @query("p16_compare_text", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_mktsegment >= 'MACHINERY'")
 def _(t):
-    return t("customer").where((F.col("c_mktsegment") == "BUILDING") | (F.col("c_mktsegment") >= "MACHINERY")).select("c_custkey")
+    f = Frame.of(t("customer"), "c_custkey")
+    return f[(f["c_mktsegment"] == "BUILDING") | (f["c_mktsegment"] >= "MACHINERY")].rows("c_custkey")
 
 
 @query("p19_booleans", f"SELECT {LINE_SQL}, (l_quantity > 10 AND NOT l_returnflag = 'A') OR l_tax > 0.05 AS b FROM lineitem")
 def _(t):
-    return t("lineitem").select(*LINE, (((F.col("l_quantity") > 10) & ~(F.col("l_returnflag") == "A")) | (F.col("l_tax") > 0.05)).alias("b"))
+    f = Frame.of(t("lineitem", *LINE, "l_quantity", "l_returnflag", "l_tax"))
+    f["b"] = ((f["l_quantity"] > 10) & ~(f["l_returnflag"] == "A")) | (f["l_tax"] > 0.05)
+    return f.rows(*LINE, "b")
 
 
 @query("p20_if", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS k FROM part")
@@ -203,7 +224,7 @@ def _(t):
 
 @query("j2_hash", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def _(t):
-    return t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    return R.merge(t("supplier").withColumnRenamed("s_nationkey", "nationkey"), t("nation").withColumnRenamed("n_nationkey", "nationkey")).select("s_suppkey", "n_name")
 
 
 @query("j3_isin", "SELECT p_partkey, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AS hit FROM part")
@@ -211,9 +232,9 @@ def _(t):
     return R.isin(t("part", "p_partkey"), "p_partkey", t("lineitem").where("l_quantity > 49"), "l_partkey", "hit")
 
 
-@query("j4_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j4_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def _(t):
-    return R.anti(t("customer", "c_custkey"), t("orders"), "c_custkey", "o_custkey")
+    return R.anti(t("customer", "c_custkey"), t("orders").where("o_totalprice > 300000"), "c_custkey", "o_custkey")
 
 
 @query("j5_theta", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON b.n_nationkey > a.n_nationkey")
@@ -311,14 +332,29 @@ def _(t):
     return R.summary(t("lineitem"), "l_quantity", ["count", "sum", "mean", "var", "std", "min", "max"], True).select("agg", F.round("value", 4).alias("value"))
 
 
-@query("a17_prod", "SELECT n_regionkey, product(n_nationkey + 1) AS p FROM nation GROUP BY 1")
+@query("a17_prod", "SELECT n_regionkey, product(n_nationkey + 1)::BIGINT AS p FROM nation GROUP BY 1")
 def _(t):
-    return t("nation").groupBy("n_regionkey").agg(F.product(F.col("n_nationkey") + 1).alias("p"))
+    return R.GroupBy(t("nation").select("n_regionkey", (F.col("n_nationkey") + 1).alias("p")), "n_regionkey").prod()
 
 
 @query("a23_unique", "SELECT DISTINCT p_brand, p_size FROM part")
 def _(t):
-    return t("part", "p_brand", "p_size").distinct()
+    f = Frame.of(t("part", "p_partkey", "p_brand", "p_size"), "p_partkey")
+    return R.GroupBy(f.rows(), ["p_brand", "p_size"], []).size().drop("size")
+
+
+@query("a23_series_unique", "SELECT DISTINCT p_brand FROM part")
+def _(t):
+    return Frame.of(t("part", "p_partkey", "p_brand"), "p_partkey")["p_brand"].unique().rows()
+
+
+@query("a32_series_aggregates", "SELECT (sum(l_partkey * l_partkey) % 18446744073709551616)::BIGINT AS s, count(*) AS n, min(l_suppkey) AS lo FROM lineitem")
+def _(t):
+    f = Frame.of(t("lineitem", "l_partkey", "l_suppkey"))
+    s = f["l_partkey"] * f["l_partkey"]
+    one = R.summary(s.rows(), "l_partkey", ["sum", "count"], False, "int64").groupBy().pivot("agg", ["sum", "count"]).agg(F.first("value"))
+    lo = R.summary(f.rows(), "l_suppkey", ["min"], False, "int64").select("value")
+    return one.select(F.col("sum").alias("s"), F.col("count").alias("n")).withColumn("lo", lo.scalar())
 
 
 @query("a24_groupby_sum", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS l_quantity, round(sum(l_extendedprice), 2) AS l_extendedprice FROM lineitem GROUP BY 1, 2")
@@ -390,6 +426,51 @@ def _(t):
     return read.with_position(t("nation"), "n_nationkey").select("n_name", F.col(POS).alias("i"))
 
 
+@query("o1_series_sort", "SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS pos, p_retailprice FROM part")
+def _(t):
+    f = Frame.of(t("part", "p_partkey", "p_retailprice"), "p_partkey")
+    s = f["p_retailprice"].sort_values()
+    return s.df.select(F.col(POS).alias("pos"), "p_retailprice")
+
+
+@query("o2_compare", "SELECT c_custkey, CASE WHEN c_acctbal < 5000 THEN -1 WHEN c_acctbal > 5000 THEN 1 ELSE 0 END AS c FROM customer")
+def _(t):
+    return t("customer").select("c_custkey", scalar.compare(F.col("c_acctbal"), F.lit(5000.0)).alias("c"))
+
+
+@query("o2_sort_with", "SELECT vec_id, list_sort(embedding[1:6], 'DESC') AS v FROM embeddings")
+def _(t):
+    return t("embeddings").select("vec_id", V.sort_with(V.slice_(F.col("embedding"), 0, 6), lambda x, y: scalar.compare(y, x)).alias("v"))
+
+
+@query("p13_get_column", "SELECT vec_id, embedding[1:3] AS v, embedding[2] AS x FROM embeddings")
+def _(t):
+    z = V.zip_(V.slice_(F.col("embedding"), 0, 3), V.slice_(F.col("embedding"), 0, 3))
+    return t("embeddings").select("vec_id", V.get_column(z, 1).alias("v"), V.get_field(V.lookup(z, 1), 0).alias("x"))
+
+
+@query("p28_series_loc", "SELECT p_partkey AS key, p_size FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+def _(t):
+    part = t("part", "p_partkey", "p_size")
+    s = Frame.of(part.withColumn("__index", F.col("p_partkey")), "p_partkey")
+    s = s["p_size"]
+    keys = Frame.of(t("lineitem", "l_partkey", "l_quantity"))
+    found = s.loc[keys[keys["l_quantity"] > 49]["l_partkey"]]
+    return found._df.select(F.col(POS).alias("key"), "p_size")
+
+
+@query("f17_frame_compare", "SELECT c_custkey AS k, c_acctbal > 100 AS c_acctbal, c_nationkey::BIGINT > 100 AS c_nationkey FROM customer")
+def _(t):
+    f = Frame.of(t("customer", "c_custkey", "c_acctbal", "c_nationkey"), "c_custkey")[["c_acctbal", "c_nationkey"]]
+    return (f > 100)._df.withColumnRenamed(POS, "k")
+
+
+@query("f17_frame_mod", "SELECT p_partkey AS k, p_size % 7 AS p_size, p_partkey % 7 AS p_partkey FROM part")
+def _(t):
+    f = Frame.of(t("part", "p_partkey", "p_size"), "p_partkey")
+    return (f % 7)._df.withColumnRenamed(POS, "k")
+
+
 @query("o1_sort", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey")
 def _(t):
     return t("orders", "o_orderkey", "o_totalprice").orderBy("o_totalprice", "o_orderkey")
@@ -452,9 +533,9 @@ def _(t):
     return t("orders").select(F.col("o_custkey").alias("k")).intersect(t("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k")))
 
 
-@query("s_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("s_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def _(t):
-    return t("customer").select(F.col("c_custkey").alias("k")).subtract(t("orders").select(F.col("o_custkey").alias("k")))
+    return t("customer").select(F.col("c_custkey").alias("k")).subtract(t("orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("k")))
 
 
 # --- scalars
@@ -579,7 +660,8 @@ for _name, _fn, _s in (
 
 @query("t14_equal", "SELECT a.p_partkey FROM part a WHERE a.p_brand = 'Brand#11' OR a.p_type <> a.p_brand")
 def _(t):
-    return t("part").where((F.col("p_brand") == "Brand#11") | (F.col("p_type") != F.col("p_brand"))).select("p_partkey")
+    f = Frame.of(t("part"), "p_partkey")
+    return f[(f["p_brand"] == "Brand#11") | (f["p_type"] != f["p_brand"])].rows("p_partkey")
 
 
 # --- UDFs and bytes
@@ -593,20 +675,29 @@ def _(t):
 
 @query("u1_udf", "SELECT p_partkey, p_retailprice * 2 + 1 AS v FROM part")
 def _(t):
-    @F.pandas_udf("double")
-    def f(x: pd.Series) -> pd.Series:
-        return x * 2 + 1
+    part = t("part")
+    U.register(part.sparkSession, "twice_and_one", lambda x: x * 2 + 1, "double")
+    return part.select("p_partkey", U.call("twice_and_one", "p_retailprice").alias("v"))
 
-    return t("part").select("p_partkey", f("p_retailprice").alias("v"))
 
+@query("u1_expanding", "SELECT p_partkey, unnest(range(p_size % 4)) AS i FROM part")
+def _(t):
+    part = t("part", "p_partkey", "p_size")
+    U.expanding(part.sparkSession, "counted", lambda n: ((i,) for i in range(n % 4)), "i long")
+    part.createOrReplaceTempView("u1_expanding_part")
+    return part.sparkSession.sql("SELECT p_partkey, i FROM u1_expanding_part, LATERAL counted(p_size)")
 
-@query("u1_vector_udf", "SELECT p_size, count(*) AS n FROM part GROUP BY 1")
+
+@query("a28_apply_in_pandas", "SELECT c_mktsegment, max(c_acctbal) - min(c_acctbal) AS spread FROM customer GROUP BY 1")
 def _(t):
-    def run(batches):
-        for b in batches:
-            yield b.groupby("p_size").size().rename("n").reset_index()
+    spread = lambda g: pd.DataFrame({"c_mktsegment": g["c_mktsegment"][:1], "spread": [g["c_acctbal"].max() - g["c_acctbal"].min()]})
+    return R.GroupBy(t("customer", "c_mktsegment", "c_acctbal"), "c_mktsegment").apply_in_pandas(spread, "c_mktsegment string, spread double")
+
 
-    return t("part", "p_size").mapInPandas(run, "p_size int, n long").groupBy("p_size").agg(F.sum("n").alias("n"))
+@query("u1_vector_udf", "SELECT p_size, count(*) AS n FROM part GROUP BY 1")
+def _(t):
+    counts = lambda b: b.group_by("p_size").aggregate([([], "count_all")]).rename_columns(["p_size", "n"])
+    return U.over_batches(t("part", "p_size"), counts, "p_size int, n long").groupBy("p_size").agg(F.sum("n").alias("n"))
 
 
 # --- streams: the batch form of each lifted reduction
@@ -614,9 +705,11 @@ def _(t):
 
 @query("st_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS s FROM events GROUP BY 1, 2")
 def _(t):
+    from ..streaming import aggregates
+
     e = t("events").withColumn("one", F.lit(1).cast("bigint"))
-    out = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.sum("one").alias("n"), F.round(F.sum("value"), 4).alias("s"))
-    return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "s")
+    out = aggregates.windowed(e, "ts", "1 hour", "1 day", ["event_type"], {"n": ("+", "one"), "s": ("+", "value")})
+    return out.withColumn("s", F.round("s", 4))
 
 
 @query("st_keyed", "SELECT event_type, count(*) AS n, max(value) AS hi FROM events GROUP BY 1")
@@ -648,32 +741,34 @@ _SEG = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
 def _movielens(t):
-    """Ratings with their title, active titles, and mean ratings of those by title and group with the difference of two."""
+    """Ratings with their title, and mean ratings of active titles by title and group with the difference of two."""
     users = t("customer").select(F.col("c_custkey").alias("user"), F.col("c_mktsegment").alias("g"), F.col("c_nationkey").alias("movie"))
     ratings = t("orders").select(F.col("o_custkey").alias("user"), F.col("o_totalprice").alias("rating"))
     movies = t("nation").select(F.col("n_nationkey").alias("movie"), F.col("n_name").alias("title"))
-    data = R.merge(R.merge(ratings, users), F.broadcast(movies))
-    active = R.GroupBy(data, "title").size().where("size >= 30")
-    p = R.pivot_table(data, "rating", "title", "g", _SEG, "mean").loc(active)
-    return data, active, p.with_column("diff", F.col("AUTOMOBILE") - F.col("BUILDING"))
+    data = R.merge(R.merge(ratings, users), movies)
+    # sizes, deviations and the pivot are aggregates of one pass: means and counts by title and group, then by title
+    group = data.groupBy("title", "g").agg(F.avg("rating").alias("mean"), F.count(F.lit(1)).alias("n"))
+    cells = [F.max(F.when(F.col("g") == s, F.col("mean"))).alias(s) for s in _SEG]
+    p = group.groupBy("title").agg(F.sum("n").alias("n"), *cells).where("n >= 30").drop("n")
+    return data, R.Pivot(p, "title", _SEG).with_column("diff", F.col("AUTOMOBILE") - F.col("BUILDING"))
 
 
 @query("w_movielens", "WITH j AS (SELECT n_name AS title, c_mktsegment AS g, o_totalprice AS rating FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), a AS (SELECT title FROM j GROUP BY 1 HAVING count(*) >= 30), p AS (SELECT title, " + ", ".join(f"avg(rating) FILTER (g = '{s}') AS {s}" for s in _SEG) + " FROM j GROUP BY 1) SELECT title, " + ", ".join(f"round({s}, 4) AS {s}" for s in _SEG) + ", round(AUTOMOBILE - BUILDING, 4) AS diff FROM p WHERE title IN (SELECT title FROM a) ORDER BY AUTOMOBILE - BUILDING, title LIMIT 10")
 def _(t):
-    out = R.top_k(_movielens(t)[2].df, 10, F.asc_nulls_last("diff"), F.asc("title"))
+    out = R.top_k(_movielens(t)[1].df, 10, F.asc_nulls_last("diff"), F.asc("title"))
     return out.select("title", *[F.round(c, 4).alias(c) for c in [*_SEG, "diff"]])
 
 
 @query("w_movielens_diff", "WITH j AS (SELECT n_name AS title, c_mktsegment AS g, o_totalprice AS rating FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), a AS (SELECT title FROM j GROUP BY 1 HAVING count(*) >= 30), p AS (SELECT title, " + ", ".join(f"avg(rating) FILTER (g = '{s}') AS {s}" for s in _SEG) + " FROM j GROUP BY 1) SELECT title, " + ", ".join(f"round({s}, 4) AS {s}" for s in _SEG) + ", round(AUTOMOBILE - BUILDING, 4) AS diff FROM p WHERE title IN (SELECT title FROM a) ORDER BY AUTOMOBILE - BUILDING, title")
 def _(t):
-    out = _movielens(t)[2].df.orderBy(F.asc_nulls_last("diff"), "title")
+    out = _movielens(t)[1].df.orderBy(F.asc_nulls_last("diff"), "title")
     return out.select("title", *[F.round(c, 4).alias(c) for c in [*_SEG, "diff"]])
 
 
 @query("w_movielens_deviation", "SELECT n_name AS title, round(stddev_samp(o_totalprice), 2) AS deviation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 HAVING count(*) >= 30 ORDER BY stddev_samp(o_totalprice) DESC, title LIMIT 10")
 def _(t):
-    data, active, _ = _movielens(t)
-    std = data.groupBy("title").agg(F.stddev_samp("rating").alias("deviation")).join(active, "title", "left_semi")
+    data, _ = _movielens(t)
+    std = data.groupBy("title").agg(F.stddev_samp("rating").alias("deviation"), F.count(F.lit(1)).alias("n")).where("n >= 30")
     return R.top_k(std, 10, F.desc("deviation"), F.asc("title")).select("title", F.round("deviation", 2).alias("deviation"))
 
 
@@ -687,7 +782,8 @@ def _(t):
     return p.div(p.total()).df.select("y", *[F.round(x, 6).alias(x) for x in "ANR"])
 
 
-@query("i5_ndstride", "SELECT p_partkey, p_size FROM part WHERE p_partkey % 12 = 0")
+@query("i5_ndstride", "SELECT a * 12 + b * 4 + c AS pos, p_size AS value FROM range(4) x(a), range(3) y(b), range(4) z(c) JOIN part ON p_partkey = 1 + a * 36 + b * 12 + c * 3")
 def _(t):
-    # a strided view of a 2-D layout: every third row and fourth column of a 4-wide matrix is every 12th position
-    return t("part", "p_partkey", "p_size").where(reduce(lambda a, b: a & b, [F.col("p_partkey") % 3 == 0, F.col("p_partkey") % 4 == 0]))
+    # a walk over three dimensions of a vector that lies flat
+    data = t("part").select(F.col("p_partkey").alias(POS), F.col("p_size").alias("value"))
+    return strided(data, 1, (4, 3, 4), (36, 12, 3)).withColumnRenamed(POS, "pos")

@@ -6,13 +6,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.semantics import TYPES
 
 POS = "__pos"
+#: Rows that one task may number, ranges that more rows are cut into, and the log of a block of positions.
+ONE_TASK, RANGES, BLOCK = 1_000_000, 200, 20
 
 
 def dtype_of(x) -> str:
@@ -53,18 +57,51 @@ def from_columns(spark: SparkSession, data: dict[str, Sequence], dtypes: dict[st
         pdf.insert(0, POS, np.arange(len(pdf), dtype=np.int64))
         schema.insert(0, T.StructField(POS, T.LongType()))
     # NaN is a value here, not a null
-    rows = pdf.astype(object).itertuples(index=False, name=None)
-    return spark.createDataFrame([tuple(v.item() if isinstance(v, np.generic) else v for v in r) for r in rows], T.StructType(schema))
+    columns = [pa.array(pdf[f.name].to_numpy(), to_arrow_type(f.dataType), from_pandas=False) for f in schema]
+    return spark.createDataFrame(pa.table(columns, names=[f.name for f in schema]), T.StructType(schema))
 
 
 def matrix(spark: SparkSession, a: np.ndarray, name: str = "row") -> DataFrame:
     """A 2-D array as one array per row."""
-    return spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(np.asarray(a))], f"{POS} long, {name} array<double>")
-
-
-def with_position(df: DataFrame, *keys: str) -> DataFrame:
-    """df with positions from 0 in the order of a declared key; needed only by positional operators."""
-    return df.withColumn(POS, F.row_number().over(Window.orderBy(*keys)).cast("bigint") - 1)
+    a = np.ascontiguousarray(a, np.float64)
+    rows = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel()))
+    return spark.createDataFrame(pa.table([pa.array(np.arange(len(a), dtype=np.int64)), rows], names=[POS, name]), f"{POS} long, {name} array<double>")
+
+
+def with_position(df: DataFrame, *keys: str, descending: bool = False, ties: Sequence[str] = ()) -> DataFrame:
+    """df with positions from 0 in the order of declared keys, and of ties within equal keys.
+
+    Up to ONE_TASK rows, which are counted, one task numbers them. More are cut into ranges of the keys, at values drawn
+    from a sample; each range is numbered by itself, from the number of rows in the ranges before."""
+    way = lambda c: F.desc(c) if descending else F.asc(c)
+    order = [*map(way, keys), *map(F.asc, ties)]
+    rows = df.limit(ONE_TASK + 1).count()
+    if rows <= ONE_TASK:
+        return df.withColumn(POS, F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)
+    rows = df.count()
+    drawn = df.select(*keys).sample(min(1.0, RANGES * 100 / rows), 11).orderBy(*map(way, keys)).collect()
+    cuts = [drawn[i] for i in range(len(drawn) // RANGES, len(drawn), max(1, len(drawn) // RANGES))]
+    key = F.struct(*[F.col(k) for k in keys])
+    kinds = [df.schema[k].dataType for k in keys]
+    before = [key > F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, c, kinds, strict=True)]) for c in cuts]
+    before = [~b for b in before] if descending else before
+    return numbered(df.withColumn("__range", sum((b.cast("int") for b in before), F.lit(0))), order)
+
+
+def renumbered(df: DataFrame) -> DataFrame:
+    """Rows that have positions, which may have gaps, at positions from 0 in the same order. Blocks of positions are
+    numbered by themselves, from the number of rows in the blocks before."""
+    return numbered(df.withColumn("__range", F.shiftright(F.col(POS), BLOCK)), [F.col(POS)])
+
+
+def numbered(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Positions of rows whose column __range is the first part of their order."""
+    sizes = df.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))  # one row for each range
+    first = F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")
+    sizes = sizes.select("__range", first.alias("__first"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order)).cast("bigint") - 1
+    out = df.withColumn("__own", own).join(sizes, "__range")
+    return out.withColumn(POS, F.col("__own") + F.col("__first")).drop("__own", "__first", "__range")
 
 
 def parquet(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
