@@ -13,6 +13,27 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = ["w_population", "w_cleaning", "w_movielens", "w_births", "p1_map", "p2_filter", "p6_replace_where", "j1_natural", "j2_hash", "j3_isin", "a2_merger", "a3_dictmerger", "a14_agg_list", "a24_groupby_sum", "a25_size", "a26_groupby_std", "a29_pivot_sum", "a30_pivot_div", "a34_share", "w1_topn", "o8_topk", "f1_arith", "f7_unary", "f8_trig", "f23_dot", "t6_contains", "t10_replace"]
 
 
+def stepwise(run, name: str) -> float:
+    """Seconds of a workload with each step cached and counted before the next, the better of two runs."""
+    best = float("inf")
+    for _ in range(2):
+        kept = []
+
+        def step(df, kept=kept):
+            kept.append(df.cache())
+            df.count()
+            return df
+
+        catalog.STEP = step
+        began = time.perf_counter()
+        run(name)
+        best = min(best, time.perf_counter() - began)
+        for df in kept:
+            df.unpersist(True)
+    catalog.STEP = lambda df: df
+    return best
+
+
 def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").config("spark.sql.shuffle.partitions", CPUS).config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
@@ -29,7 +50,8 @@ def main() -> None:
             run(name)
             best = min(best, time.perf_counter() - began)
         took[name] = round(best, 4)
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 4), "unit": "sec", "queries": took, "sf": os.path.basename(SF.rstrip("/"))}))
+    ratio = {name: round(stepwise(run, name) / took[name], 2) for name in ("w_population", "w_movielens", "w_births")}
+    print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 4), "unit": "sec", "queries": took, "stepwise_over_fused": ratio, "sf": os.path.basename(SF.rstrip("/"))}))
 
 
 if __name__ == "__main__":

@@ -45,6 +45,10 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
+#: Called with the DataFrame of each step of a workload; bench.py materialises them here, for comparison.
+STEP: Callable[[DataFrame], DataFrame] = lambda df: df
+
+
 def r2(c):
     return F.round(c, 2)
 
@@ -724,11 +728,11 @@ def _(t):
 
 @query("w_population", "WITH f AS (SELECT l_returnflag AS state, exp((l_extendedprice * 0.1 + l_quantity * 2.0 - l_tax * 10.0) / 10000) AS e FROM lineitem WHERE l_quantity > 10) SELECT state, round(sum(e / (SELECT sum(e) FROM f)), 8) AS share FROM f GROUP BY 1")
 def _(t):
-    rows = t("lineitem", "l_returnflag", "l_extendedprice", "l_quantity", "l_tax").where("l_quantity > 10")
+    rows = STEP(t("lineitem", "l_returnflag", "l_extendedprice", "l_quantity", "l_tax").where("l_quantity > 10"))
     v = F.array("l_extendedprice", "l_quantity", "l_tax")
-    e = rows.select(F.col("l_returnflag").alias("state"), F.exp(V.dot(v, [0.1, 2.0, -10.0]) / 10000).alias("e"))
+    e = STEP(rows.select(F.col("l_returnflag").alias("state"), F.exp(V.dot(v, [0.1, 2.0, -10.0]) / 10000).alias("e")))
     # shares of a total of group sums: one pass over the rows
-    return R.fill_by_total(R.GroupBy(e, "state")["e"].sum(), "e", "share").select("state", F.round("share", 8).alias("share"))
+    return R.fill_by_total(STEP(R.GroupBy(e, "state")["e"].sum()), "e", "share").select("state", F.round("share", 8).alias("share"))
 
 
 @query("w_cleaning", "SELECT DISTINCT CASE WHEN substr(c_name, 10, 5) = '00000' THEN 'nan' ELSE substr(c_name, 10, 5) END AS zip FROM customer")
@@ -745,9 +749,9 @@ def _movielens(t):
     users = t("customer").select(F.col("c_custkey").alias("user"), F.col("c_mktsegment").alias("g"), F.col("c_nationkey").alias("movie"))
     ratings = t("orders").select(F.col("o_custkey").alias("user"), F.col("o_totalprice").alias("rating"))
     movies = t("nation").select(F.col("n_nationkey").alias("movie"), F.col("n_name").alias("title"))
-    data = R.merge(R.merge(ratings, users), movies)
+    data = STEP(R.merge(STEP(R.merge(ratings, users)), movies))
     # sizes, deviations and the pivot are aggregates of one pass: means and counts by title and group, then by title
-    group = data.groupBy("title", "g").agg(F.avg("rating").alias("mean"), F.count(F.lit(1)).alias("n"))
+    group = STEP(data.groupBy("title", "g").agg(F.avg("rating").alias("mean"), F.count(F.lit(1)).alias("n")))
     cells = [F.max(F.when(F.col("g") == s, F.col("mean"))).alias(s) for s in _SEG]
     p = group.groupBy("title").agg(F.sum("n").alias("n"), *cells).where("n >= 30").drop("n")
     return data, R.Pivot(p, "title", _SEG).with_column("diff", F.col("AUTOMOBILE") - F.col("BUILDING"))
@@ -776,8 +780,8 @@ def _(t):
 def _(t):
     names = t("part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))
     rows = t("lineitem").select(F.col("l_partkey").alias("k"), F.year("l_shipdate").alias("y"), F.col("l_returnflag").alias("sex"), F.col("l_quantity").alias("births"))
-    births = R.GroupBy(R.merge(rows, names).drop("k"), ["y", "sex", "name"])["births"].sum()
-    top = R.GroupBy(births, ["y", "sex"]).sort_values("births", False, ["name"]).slice(0, 100).reset_index()
+    births = STEP(R.GroupBy(STEP(R.merge(rows, names).drop("k")), ["y", "sex", "name"])["births"].sum())
+    top = STEP(R.GroupBy(births, ["y", "sex"]).sort_values("births", False, ["name"]).slice(0, 100).reset_index())
     p = R.pivot_table(top.where(strings.contains(strings.lower(F.col("name")), "a")), "births", "y", "sex", ["A", "N", "R"])
     return p.div(p.total()).df.select("y", *[F.round(x, 6).alias(x) for x in "ANR"])
 

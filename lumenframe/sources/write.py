@@ -41,6 +41,8 @@ def pack(value, kind: T.DataType) -> bytes:
     if isinstance(kind, T.StringType):
         b = value.encode()
         return struct.pack("<q", len(b)) + b
+    if isinstance(kind, T.ArrayType) and type(kind.elementType) in CODES:
+        return struct.pack("<q", len(value)) + np.asarray(value, "<" + CODES[type(kind.elementType)]).tobytes()
     if isinstance(kind, T.ArrayType):
         return struct.pack("<q", len(value)) + b"".join(pack(v, kind.elementType) for v in value)
     if isinstance(kind, T.MapType):
@@ -70,6 +72,11 @@ def _unpack(b: bytes, at: int, kind: T.DataType):
     at += 8
     if isinstance(kind, T.StringType):
         return b[at : at + n].decode(), at + n
+    if isinstance(kind, T.ArrayType) and type(kind.elementType) in CODES:
+        item = np.dtype("<" + CODES[type(kind.elementType)])
+        if at + n * item.itemsize > len(b):
+            raise ValueError("bytes are missing")
+        return np.frombuffer(b, item, n, at).tolist(), at + n * item.itemsize
     if isinstance(kind, T.ArrayType):
         out = []
         for _ in range(n):
@@ -85,8 +92,10 @@ def _unpack(b: bytes, at: int, kind: T.DataType):
     raise TypeError(kind)
 
 
-def _plain(v):
-    return [_plain(x) for x in v] if isinstance(v, np.ndarray) else v
+def _plain(v, kind: T.DataType):
+    """Arrays of arrays as lists; arrays of numbers stay as they are."""
+    nested = isinstance(kind, T.ArrayType) and type(kind.elementType) not in CODES
+    return [_plain(x, kind.elementType) for x in v] if nested and isinstance(v, np.ndarray) else v
 
 
 def serialize(c: Column, kind: T.DataType) -> Column:
@@ -94,7 +103,7 @@ def serialize(c: Column, kind: T.DataType) -> Column:
 
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: pack(_plain(v), kind))
+        return s.map(lambda v: pack(_plain(v, kind), kind))
 
     return run(c)
 
