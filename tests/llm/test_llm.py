@@ -197,9 +197,9 @@ def test_anchored_grams_of_scripts_without_blanks():
     rng = np.random.default_rng(4)
     line = "".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 300))
     like = line[:100] + "中文" + line[110:]
-    row, key, place = line_dedup.anchored([line, "short", like, "0 0.0 " * 40], 16, 40)
+    row, key, place, near = line_dedup.anchored([line, "short", like, "0 0.0 " * 40], 16, 40)
     keys = [set(key[row == i].tolist()) for i in range(4)]
-    assert len(keys[0] & keys[2]) > 5 and keys[3] and (place >= 0).all() and place[row == 0].max() < 300
+    assert len(keys[0] & keys[2]) > 5 and keys[3] and (place >= 0).all() and place[row == 0].max() < 300 and len(near(np.arange(len(row)))) == len(row)
 
 
 def test_lines_alike_by_brute_force(spark):
