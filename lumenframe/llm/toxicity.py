@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE, chunked, table
+from .common import CACHE, chunked, sweep, table
 
 #: Bound of the sample the field is fitted on: documents of either label, drawn by a hash of doc_id.
 TOXIC_DOCS, CLEAN_DOCS = 1200, 2400
@@ -29,6 +29,8 @@ SPAN, NOISE = 0.5, 0.1
 #: Share of the toxic documents that a toxic word or stem is found in at least.
 RARE = 0.01
 STEPS = 50
+#: Tokens whose marginals are held at once while the field is fitted.
+BLOCK = 1 << 16
 
 
 def features(word: str) -> tuple[list[int], list[int]]:
@@ -171,6 +173,7 @@ def fit(sample: Iterable[tuple[int, str]], steps: int = STEPS) -> Field:
     documents of both labels, or without tokens to tell them by, the field scores every document low."""
     field = Field()
     part = Sample(sample)
+    del sample
     labels = part.labels.astype(np.int64)
     bad = token_labels(part.documents)
     toxic = np.fromiter((w.lower() in bad for w in part.words), bool, len(part.words))
@@ -185,36 +188,41 @@ def fit(sample: Iterable[tuple[int, str]], steps: int = STEPS) -> Field:
     clean = clean[np.argsort(drawn, kind="stable")]
     before = np.cumsum(length[clean]) - length[clean]
     used = np.r_[np.flatnonzero(hit), clean[before < CLEAN_TOKENS]]
-    at = np.concatenate([np.arange(part.ends[x], part.ends[x + 1]) for x in used])
-    kinds, ids = np.unique(part.ids[at], return_inverse=True)
-    y, starts = marks[at].astype(np.float64), np.r_[0, np.cumsum(length[used])]
+    used = used[np.argsort(-length[used], kind="stable")]  # so that lines of one block are about as long
+    starts = np.r_[0, np.cumsum(length[used])]
+    at = np.arange(starts[-1]) + np.repeat(part.ends[used] - starts[:-1], length[used])
+    y, ids = marks[at], part.ids[at]
+    del at, marks, clean, drawn, before
+    kinds = np.unique(ids)
+    ids = np.searchsorted(kinds, ids).astype(np.int32)
     index = [part.words[i] for i in kinds]
     own, near = feature_table(index)
     used_own, own = np.unique(own, return_inverse=True)
     used_near, near = np.unique(near, return_inverse=True)
-    own, near = own.reshape(len(index), -1), near.reshape(len(index), -1)
+    own, near = own.astype(np.int32).reshape(len(index), -1), near.astype(np.int32).reshape(len(index), -1)
     sizes = [len(used_own), len(used_near), len(used_near), 1, 4]
     cuts = np.cumsum([0, *sizes])
     w = np.zeros(cuts[-1])
     w[cuts[3]] = -3.0
     m, v = np.zeros_like(w), np.zeros_like(w)
-    first = np.zeros(len(ids) + 1, bool)
-    first[starts] = True
-    inner = ~first[1:-1]
-    begins = starts[:-1][np.diff(starts) > 0]
-    yi = y.astype(int)
+    edges = np.r_[np.flatnonzero(np.diff(starts[:-1] // BLOCK, prepend=-1)), len(used)]
     l2 = 1e-6 * len(ids)
     for step in range(1, steps + 1):
         wo, wl, wr, ws, wt = (w[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
         to, tl, tr = wo[own].sum(1), wl[near].sum(1), wr[near].sum(1)
-        e = emissions(to[ids], tl[ids], tr[ids], starts)
-        odds, expected, at = marginals(e, starts, float(ws[0]), wt.reshape(2, 2), pairs=True)
-        g = odds / (1 + odds) - y
-        per_own = np.bincount(ids, g, len(index))
-        per_left = np.bincount(ids[:-1], np.where(inner, g[1:], 0), len(index))
-        per_right = np.bincount(ids[1:], np.where(inner, g[:-1], 0), len(index))
-        real = np.bincount(2 * yi[at - 1] + yi[at], minlength=4).reshape(2, 2)
-        grad = np.concatenate([np.bincount(own.ravel(), np.repeat(per_own, own.shape[1]), sizes[0]), np.bincount(near.ravel(), np.repeat(per_left, near.shape[1]), sizes[1]), np.bincount(near.ravel(), np.repeat(per_right, near.shape[1]), sizes[2]), [g[begins].sum()], (expected - real).ravel()])
+        per_own, per_left, per_right = (np.zeros(len(index)) for _ in range(3))
+        begin, pairs = 0.0, np.zeros((2, 2))
+        for i, j in zip(edges[:-1], edges[1:], strict=True):  # what a step holds is bounded by a block of lines
+            of, tag, at = ids[starts[i] : starts[j]], y[starts[i] : starts[j]], starts[i : j + 1] - starts[i]
+            odds, expected, next_ = marginals(emissions(to[of], tl[of], tr[of], at), at, float(ws[0]), wt.reshape(2, 2), pairs=True)
+            g = odds / (1 + odds) - tag
+            per_own += np.bincount(of, g, len(index))
+            per_left += np.bincount(of[next_ - 1], g[next_], len(index))
+            per_right += np.bincount(of[next_], g[next_ - 1], len(index))
+            begin += g[at[:-1]].sum()
+            pairs += expected - np.bincount(2 * tag[next_ - 1].astype(int) + tag[next_], minlength=4).reshape(2, 2)
+        summed = lambda features, of, n: sum(np.bincount(features[:, k], of, n) for k in range(features.shape[1]))
+        grad = np.concatenate([summed(own, per_own, sizes[0]), summed(near, per_left, sizes[1]), summed(near, per_right, sizes[2]), [begin], pairs.ravel()])
         grad += l2 * 0.1 * w
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
@@ -228,7 +236,7 @@ def fit(sample: Iterable[tuple[int, str]], steps: int = STEPS) -> Field:
     logits, first = [], 0
     for d in range(len(labels)):  # a part of the sample at a time
         a, b = part.ends[part.lines[first]], part.ends[part.lines[d + 1]]
-        if b - a >= CLEAN_TOKENS or d == len(labels) - 1:
+        if b - a >= BLOCK or d == len(labels) - 1:
             ids, starts = part.ids[a:b], part.ends[part.lines[first] : part.lines[d + 1] + 1] - a
             odds = marginals(emissions(of[ids, 0], of[ids, 1], of[ids, 2], starts), starts, field.start, field.trans)
             logits.append(document_logit(odds, part.ends[part.lines[first : d + 2]] - a))
@@ -264,6 +272,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, usable=None) -> list[tup
     rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # of rows that share a doc_id, one
     so_far = F.sum(F.length("text")).over(Window.orderBy(*by))  # no more than TOXIC_DOCS + CLEAN_DOCS rows
     rows = rows.withColumn("letters", so_far).where(F.col("letters") <= SAMPLE_LETTERS).select("doc_id", "toxic", "text").collect()
+    sweep(docs.sparkSession)  # the fit, in the driver's Python, comes next
     return [(r.toxic, r.text) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -161,6 +162,27 @@ def test_training_sample_is_bounded(spark, monkeypatch):
 # --- op6
 
 
+def test_fit_holds_a_block_at_a_time():
+    """Memory of a fit, beyond the sample, doesn't follow the tokens it is fitted on."""
+    rng = np.random.default_rng(5)
+    plain, bad = [f"w{i}" for i in range(400)], [f"curse{i}" for i in range(10)]
+
+    def document(y):
+        lines = [list(rng.choice(plain, 30)) for _ in range(20)]
+        for words in lines if y else ():
+            words[3] = bad[rng.integers(len(bad))]
+        return y, "\n".join(" ".join(words) for words in lines)
+
+    sample = [document(i % 2) for i in range(600)]
+    tracemalloc.start()
+    try:
+        field = toxicity.fit(iter(sample), steps=2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert field.own.any() and peak < 100 * 360_000  # bytes: 360,000 tokens
+
+
 def test_shards_by_brute_force(spark):
     def hash48(*parts):
         return int(hashlib.md5(":".join(parts).encode()).hexdigest()[:12], 16)
