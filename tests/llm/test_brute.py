@@ -270,6 +270,43 @@ def test_components_of_links_by_keys(spark):
 # --- nulls, repeats, empties, very long texts and clashing names
 
 
+def test_postings_are_read_once(spark, tmp_path):
+    """Postings are dealt by key in one shuffle, however many rounds follow."""
+    log = str(tmp_path / "log")
+
+    def read(batches):
+        for b in batches:
+            with open(log, "a") as f:
+                f.write(f"{b.num_rows}\n")
+            yield b
+
+    rows = spark.createDataFrame([(i % 40, i, (0,), 1) for i in range(400)], "key long, id long, v struct<x:int>, central int")
+    comp = components.linked(rows.coalesce(1).mapInArrow(read, rows.schema), lambda pairs: pairs, common.Scratch(spark, "test"), lambda x, y: x["x"] == y["x"])
+    assert {r.id: r.component for r in comp.collect()} == {i: i % 40 for i in range(400)}
+    with open(log) as f:
+        assert sum(map(int, f)) == 400
+
+
+def test_lines_that_share_a_phrase_alone_seldom_meet():
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("aehinorst"), rng.integers(2, 8))) for _ in range(60)]
+    lines = []
+    for _ in range(60):
+        w = list(rng.choice(words, 60))
+        w[30:36] = ["onwhor", "thouenre", "anrely", "and", "anhestor", "thanhash"]
+        lines.append(" ".join(w))
+    row, key, _, near = line_dedup.line_keys(lines, lambda key: np.ones(len(key), bool))
+    near = near.reshape(len(row), -1).view(np.uint64)
+    met = passed = 0
+    for k in np.unique(key):
+        at = np.flatnonzero(key == k)
+        for j in range(1, len(at)):
+            both, own, other = (np.bitwise_count(x).astype(int).sum(-1) for x in (near[at[:j]] & near[at[j]], near[at[:j]], near[at[j]]))
+            met += j
+            passed += int((both * 100 >= np.minimum(own, other) * line_dedup.ALIKE).sum())
+    assert met > 1000 and passed < 0.2 * met
+
+
 def test_pairs_with_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(40_000))
     rows = [(5, "a b c d e f g"), (3, "A b c d e f g"), (3, "a b c d e f g"), (None, "a b c d e f g"), (None, None), (9, long), (8, long + " end"), (4, "")]
