@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("lumenframe.llm")
@@ -370,3 +371,53 @@ def test_stages(spark, sf, empty, tmp_path):
     assert sorted((str(r.doc_id) for r in clean.collect())) == ["2", "2", "4", "None"]
     packed = stages["packing"](spark, documents(spark, [(1, "a few words"), (1, "a few words"), (None, None), (3, "")]), sf).collect()
     assert len({r.sequence_id for r in packed}) == 1 and sorted(str(r.doc_id) for r in packed if r.start == 0) == ["1", "1", "3", "None"]
+
+
+def test_postings_without_partners_go():
+    """Rows that fit no other of their key go, however the rows of a key lie in batches; all pairs that fit stay."""
+    rng = np.random.default_rng(12)
+    n = 3000
+    key = np.sort(np.r_[rng.integers(0, 700, n - 200), np.full(140, 50), np.full(60, 700)]).astype(np.int64)
+    size, place = rng.integers(200, 230, n).astype(np.int32), rng.integers(0, 190, n).astype(np.int64)
+    near = rng.integers(0, 1 << 62, (n, 2), dtype=np.int64)
+    twin = np.flatnonzero(rng.random(n - 1) < 0.1)
+    size[twin + 1], place[twin + 1], near[twin + 1] = size[twin], place[twin], near[twin]
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.arange(n), size, place, near[:, 0].copy(), near[:, 1].copy())], ["key", "id", "len", "place", "before", "after"])
+
+    def fits(i, j):
+        most = int(max(size[i], size[j])) * (100 - line_dedup.PERCENT) // 100
+        if abs(int(place[i]) - int(place[j])) + abs(int(size[i] - place[i]) - int(size[j] - place[j])) > most:
+            return False
+        bits = lambda x: sum(int(v).bit_count() for v in x)
+        return bits(near[i] & near[j]) * 100 >= min(bits(near[i]), bits(near[j])) * line_dedup.ALIKE
+
+    want = set()
+    for k in np.unique(key):
+        at = np.flatnonzero(key == k)
+        want |= {int(i) for i in at if len(at) > line_dedup.FEW or any(fits(min(i, j), max(i, j)) for j in at if i != j)}
+    assert len(want) < 0.8 * n
+    for step in (1, 7, 500, n):
+        got = [i for b in line_dedup.with_partners(rows.slice(a, step) for a in range(0, n, step)) for i in b.column("id").to_pylist()]
+        assert got == sorted(want)
+
+
+def test_postings_with_partners_find_the_same_groups(spark, monkeypatch):
+    """The written postings are those with a partner, and nothing but the result is left in the shared folder."""
+    rng = np.random.default_rng(13)
+    words = ["".join(rng.choice(list("aehinorst"), rng.integers(2, 8))) for _ in range(300)]
+    phrase = "onwhor thouenre anrely and anhestor thanhash"
+    lines = [" ".join([*rng.choice(words, 30), phrase, *rng.choice(words, 30)]) for _ in range(120)]
+    lines += [x.replace(phrase, phrase + " end") for x in lines[:30]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept, save = {}, common.Scratch.save
+
+    def seen(self, df, name="t", **k):
+        out = save(self, df, name, **k)
+        kept.setdefault(name, []).append((out.count(), self))
+        return out
+
+    monkeypatch.setattr(common.Scratch, "save", seen)
+    got = {r.doc_id: r.n_removed for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert got == {i: int(i >= 120) for i in range(150)}
+    assert kept["postings"][0][0] < 0.6 * sum(len(line_dedup.line_keys([x])[1]) for x in lines)
+    assert [p.rpartition("-")[2] for p in kept["gone"][0][1].paths] == ["gone"]
