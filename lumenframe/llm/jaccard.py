@@ -18,6 +18,8 @@ from .components import linked
 
 #: Longest multi-match, and the cost of verifying a candidate in units of reading a posting.
 LONGEST, VERIFY = 4, 16.0
+#: 64-bit words of a set's parities.
+WORDS = 8
 
 
 def shingle_sets(texts: list, k: int, cache: WordHash) -> list[np.ndarray]:
@@ -36,6 +38,13 @@ def shingle_sets(texts: list, k: int, cache: WordHash) -> list[np.ndarray]:
     return out
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """A set's number of elements in each of 64 * WORDS cells, modulo 2, as bits. Two sets differ in at least as many
+    elements as their parities do in bits."""
+    odd = np.bincount((s % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def prefix(n: int, percent: int, freq: np.ndarray) -> tuple[int, int]:
     """(l, prefix length) for a set of n elements in order, whose estimated frequencies are freq.
 
@@ -83,8 +92,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     def index(batches):
         cache = WordHash()
-        names = ["doc_id", "n_shingles", "sig", "l", "share", "tokens", "hashes"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        names = ["doc_id", "n_shingles", "sig", "l", "share", "odd", "tokens", "hashes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float32(), *[pa.list_(pa.int64())] * 3]
         for c in chunked(batches):
             out: list[list] = [[] for _ in names]
             sets = shingle_sets(c["text"], k, cache)
@@ -96,7 +105,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                 n = len(s)
                 f = freq[at : at + n]
                 at += n
-                sig, best, share, tokens, hashes = None, None, None, None, None
+                sig, best, share, odd, tokens, hashes = None, None, None, None, None, None
                 if n:
                     sig = xxhash.xxh3_64_intdigest(s.tobytes())
                     sig -= (sig >> 63) << 64
@@ -105,18 +114,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                     taken = by[:length]
                     taken = taken[f[taken] > 1]
                     if len(taken) >= best:
-                        tokens, hashes, share = signed(s[taken]), signed(s), float((f > 1).mean())
-                for o, v in zip(out, (i, n, sig, best, share, tokens, hashes), strict=True):
+                        tokens, hashes, share, odd = signed(s[taken]), signed(s), float((f > 1).mean()), parities(s)
+                for o, v in zip(out, (i, n, sig, best, share, odd, tokens, hashes), strict=True):
                     o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names)
 
-    sets = scratch.save(docs.mapInArrow(index, "doc_id long, n_shingles long, sig long, l int, share float, tokens array<long>, hashes array<long>"), "sets")
-    distinct = scratch.save(sets.where(F.col("tokens").isNotNull()).dropDuplicates(["sig"]).select("sig", "n_shingles", "l", "share", "tokens", "hashes"), "distinct")
-    value = F.struct(F.col("n_shingles").alias("n"), "l")
+    sets = scratch.save(docs.mapInArrow(index, "doc_id long, n_shingles long, sig long, l int, share float, odd array<long>, tokens array<long>, hashes array<long>"), "sets")
+    distinct = scratch.save(sets.where(F.col("tokens").isNotNull()).dropDuplicates(["sig"]).select("sig", "n_shingles", "l", "share", "odd", "tokens", "hashes"), "distinct")
+    value = F.struct(F.col("n_shingles").alias("n"), "l", *[F.col("odd")[i].alias(f"odd{i}") for i in range(WORDS)])
     postings = distinct.select(F.explode("tokens").alias("key"), F.col("sig").alias("id"), value.alias("v"), F.col("share").alias("central"))
 
     def fits(x, y):
-        return 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
+        # linked sets differ in at most (100 - percent) / (100 + percent) of their elements, and parities in no more bits
+        differ = sum(F.bit_count(x[f"odd{i}"].bitwiseXOR(y[f"odd{i}"])) for i in range(WORDS))
+        return (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])) & ((100 + percent) * differ <= (100 - percent) * (x["n"] + y["n"]))
 
     def check(pairs):
         for s in "ab":
@@ -126,15 +137,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     bits.destroy()
     often.destroy()
+    scratch.sweep()
     comp = linked(postings, check, scratch, fits, enough=lambda x, y: F.least(x["l"], y["l"]))
+    rows = scratch.save(sets.select("doc_id", "n_shingles", "sig"), "rows")
     # one row for each signature, then for each component; joined to all rows, of which one group may hold a third
-    same = sets.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    same = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     if comp is not None:
         members = scratch.save(same.join(comp.withColumnRenamed("id", "sig"), "sig", "left"), "signatures")
         roots = members.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("root_least"), F.count(F.lit(1)).alias("n"))
         found = join_groups(members, scratch.save(roots, "roots"), "component")
         same = found.select("sig", "n", F.coalesce("root_least", "least").alias("least"))
-    out = join_groups(sets.select("doc_id", "n_shingles", "sig"), scratch.save(same, "classes"), "sig")
+    same = scratch.save(same, "classes")
+    scratch.keep(rows, same)
+    out = join_groups(rows, same, "sig")
     return out.select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 

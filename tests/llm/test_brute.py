@@ -421,3 +421,36 @@ def test_postings_with_partners_find_the_same_groups(spark, monkeypatch):
     assert got == {i: int(i >= 120) for i in range(150)}
     assert kept["postings"][0][0] < 0.6 * sum(len(line_dedup.line_keys([x])[1]) for x in lines)
     assert [p.rpartition("-")[2] for p in kept["gone"][0][1].paths] == ["gone"]
+
+
+def test_sets_that_share_passages_alone_are_not_verified(spark, monkeypatch):
+    """Sets that share passages but differ too much, by their parities, are no candidates; links are as by brute force."""
+    rng = np.random.default_rng(14)
+    passages = [" ".join(f"p{i}w{j}" for j in range(30)) for i in range(40)]
+    texts = [" ".join(passages[i] for i in rng.choice(40, 8, replace=False)) for _ in range(150)]
+    texts += [f"{t} x{i}" for i, t in enumerate(texts[:20])] + [" ".join(t.split()[:-45]) for t in texts[:20]]
+    sets = [set(zip(*(t.split()[j:] for j in range(5)), strict=False)) for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * (both := len(sets[i] & sets[j])) >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                lo, hi = sorted((want[i], want[j]))
+                want = [lo if x == hi else x for x in want]
+    tried, linked = [], jaccard.linked
+
+    def counted(postings, check, *a, **k):
+        def seen(pairs):
+            tried.append(pairs.count())
+            return check(pairs)
+
+        return linked(postings, seen, *a, **k)
+
+    monkeypatch.setattr(jaccard, "linked", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(want)) and len(set(want)) < len(want)
+    assert sum(tried) < 150
+    for a, b in rng.integers(0, len(texts), (50, 2)):
+        x, y = (np.unique(jaccard.shingle_sets([texts[i]], 5, common.WordHash())[0]) for i in (a, b))
+        bits = sum(int(v & 0xFFFFFFFFFFFFFFFF).bit_count() for v in map(int, jaccard.parities(x) ^ jaccard.parities(y)))
+        assert bits <= len(np.setxor1d(x, y))
