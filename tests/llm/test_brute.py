@@ -454,3 +454,33 @@ def test_sets_that_share_passages_alone_are_not_verified(spark, monkeypatch):
         x, y = (np.unique(jaccard.shingle_sets([texts[i]], 5, common.WordHash())[0]) for i in (a, b))
         bits = sum(int(v & 0xFFFFFFFFFFFFFFFF).bit_count() for v in map(int, jaccard.parities(x) ^ jaccard.parities(y)))
         assert bits <= len(np.setxor1d(x, y))
+
+
+def test_copies_around_several_centres_are_merged_before_the_last_step(spark, monkeypatch):
+    """Large groups of lines alike that share a passage fall together by hubs: hardly a link within them is left to the last step."""
+    rng = np.random.default_rng(15)
+    word = lambda: "".join(rng.choice(list("aehinorst"), rng.integers(3, 9)))
+    passage = " ".join(word() for _ in range(30))
+    lines, group = [], []
+    for g in range(3):
+        base = [word() for _ in range(25)]
+        for _ in range(40):
+            own = list(base)
+            own[rng.integers(25)] = word()
+            lines.append(" ".join([*own, passage]))
+            group.append(g)
+    found, linked = [], line_dedup.linked
+
+    def counted(postings, check, *a, **k):
+        def seen(pairs):
+            out = check(pairs)
+            found.append(out.count())
+            return out
+
+        return linked(postings, seen, *a, **k)
+
+    monkeypatch.setattr(line_dedup, "linked", counted)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert got == {i: int(i % 40 > 0) for i in range(120)}
+    assert sum(found) < 2 * 120
