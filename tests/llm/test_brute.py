@@ -484,3 +484,24 @@ def test_copies_around_several_centres_are_merged_before_the_last_step(spark, mo
     got = {r.doc_id: r.n_removed for r in line_dedup.without_repeated_lines(docs).collect()}
     assert got == {i: int(i % 40 > 0) for i in range(120)}
     assert sum(found) < 2 * 120
+
+
+def test_many_edit_distances_at_once():
+    """Pairs compared in blocks of 64 letters, with a band and an early end, are judged as one by one."""
+    from lumenframe.llm.edits import all_within
+
+    rng = np.random.default_rng(21)
+    for letters in ("ab", "abcdefghij ", "aé語😀 bc"):
+        x, y = [], []
+        draw = lambda n, letters=letters: "".join(rng.choice(list(letters), n))
+        for n in [0, 1, 4, 30, 63, 64, 65, 127, 128, 129, 300, 640] * 4:
+            a = draw(n)
+            for part in (0, 0.1, 0.2, 0.25):
+                b = [("", c + draw(1), draw(1))[rng.integers(3)] if rng.random() < part else c for c in a]
+                x.append(a)
+                y.append("".join(b))
+            x.append(a)
+            y.append(draw(max(0, n + int(rng.integers(-20, 20)))))
+        most = np.array([max(len(a), len(b)) // 5 for a, b in zip(x, y, strict=True)])
+        want = [line_dedup.within(a, b, int(k)) for a, b, k in zip(x, y, most, strict=True)]
+        assert all_within(x, y, most).tolist() == want and 40 < sum(want) < len(want) - 40
