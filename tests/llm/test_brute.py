@@ -505,3 +505,35 @@ def test_many_edit_distances_at_once():
         most = np.array([max(len(a), len(b)) // 5 for a, b in zip(x, y, strict=True)])
         want = [line_dedup.within(a, b, int(k)) for a, b, k in zip(x, y, most, strict=True)]
         assert all_within(x, y, most).tolist() == want and 40 < sum(want) < len(want) - 40
+
+
+def test_short_lines_that_share_a_gram_go_by_parities():
+    """Parities never part lines alike, and short lines that share a gram but aren't alike are no candidates."""
+    rng = np.random.default_rng(22)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(600)]
+    lines = [f"{a} the {b}" for a, b in rng.choice(words, (300, 2))]
+    near = [x[:3] + x[4:-1] + "é" for x in lines]
+    row, key, place, around = line_dedup.line_keys(lines + near, lambda key: np.ones(len(key), bool))
+    at = np.array([np.flatnonzero(row == i)[0] for i in range(600)])
+    size = np.array([len(x) for x in lines + near])[row]
+    assert line_dedup.fits_at(size, place, around, at[:300], at[300:]).all()
+    i, j = (at[:300][x] for x in np.triu_indices(300, 1))
+    assert line_dedup.fits_at(size, place, around, i, j).mean() < 0.2
+
+
+def test_pairs_are_verified_by_cells(spark, monkeypatch):
+    """Many pairs that share a passage but aren't alike: each text is shuffled once for each side, not for each pair."""
+    rng = np.random.default_rng(23)
+    words = ["".join(rng.choice(list("aehinorst"), rng.integers(3, 8))) for _ in range(400)]
+    passage = " ".join(rng.choice(words, 40))
+    lines = [" ".join([*rng.choice(words, 35), passage]) for _ in range(60)]
+    lines += [x.replace(passage, passage[:-3]) for x in lines[:5]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    cells = []
+    cogroup = type(docs.groupBy("doc_id")).cogroup
+    monkeypatch.setattr(type(docs.groupBy("doc_id")), "cogroup", lambda *a: cells.append(cogroup(*a)) or cells[-1])
+    monkeypatch.setattr(line_dedup, "SIDE", 8000)
+    monkeypatch.setattr(line_dedup, "SIDES", 2)
+    got = {r.doc_id: r.n_removed for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert got == {i: int(i >= 60) for i in range(65)}
+    assert cells
